@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but the six ASCII white space characters; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
-GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,8 +51,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def n_words(text) -> F.Column:
     """The number of words of a text column; 0 for null. JVM only."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{GAP}|{GAP}$", "")
-    return F.when(F.length(trimmed) == 0, F.lit(0)).otherwise(F.size(F.split(trimmed, GAP))).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 class WordHashes(dict):

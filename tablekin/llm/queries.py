@@ -5,14 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
+from .mixing import mix_sources
+from .packing import pack
+from .sharding import shard_by_bytes
 from .substring_dedup import substring_dedup
+from .token_counts import token_counts
+from .warc import page_archives
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_archives(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_warc_revisits": op2_warc_revisits,
+    "op3_token_counts": op3_token_counts,
+    "op4_sharding": op4_sharding,
+    "op5_packing": op5_packing,
+    "op9_mixing": op9_mixing,
+}
 
 ORACLE = {
     "op1_substring_dedup": r"""
@@ -26,5 +64,25 @@ kept AS (SELECT pos.r, string_agg(pos.word, ' ' ORDER BY pos.p) AS t FROM pos AN
 n AS (SELECT r, count(*) AS c FROM gone GROUP BY r)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.c, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.r = kept.r LEFT JOIN n ON d.r = n.r
+""",
+    "op2_warc_revisits": """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM m
+""",
+    "op9_mixing": r"""
+WITH d AS (SELECT doc_id, text, coalesce('a' || source, 'b') AS s, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+k AS (SELECT doc_id, s, size, -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+ / CASE WHEN size > 0 AND CAST(length(text) AS DOUBLE) / size BETWEEN 4 AND 12 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS key FROM d),
+g AS (SELECT s, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY s) - 1) % 3 + 1 AS BIGINT)]::DOUBLE AS w FROM d GROUP BY s),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(2.0::DOUBLE * sum(source_size) OVER up, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER up, 0)) AS lv
+ FROM g WINDOW up AS (ORDER BY source_size / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT s, source_size, least(2.0::DOUBLE * source_size, max(CASE WHEN lv <= 2.0::DOUBLE * source_size / w THEN lv END) OVER () * w) AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+r AS (SELECT k.*, e.source_size, e.target, e.epochs, sum(k.size) OVER (PARTITION BY k.s ORDER BY k.key, k.doc_id ROWS UNBOUNDED PRECEDING) AS run FROM k JOIN e ON k.s = e.s)
+SELECT doc_id, size, source_size, target,
+CAST(size * (epochs + CASE WHEN target - epochs * source_size > 0 AND run - size / 2.0::DOUBLE <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """,
 }
