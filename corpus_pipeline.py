@@ -1,10 +1,61 @@
-"""Corpus pipeline: STAGES over documents, each written as Parquet and reread."""
+"""Corpus pipeline: the stages in order, each written as Parquet and reread as the next one's docs."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tablekin.llm._common import table, written
+from tablekin.llm.language_id import UND, predict_language, train_language_id
+from tablekin.llm.mixing import mixed
+from tablekin.llm.near_dup import without_near_duplicates
+from tablekin.llm.packing import pack
+from tablekin.llm.queries import tokenizer_path
+from tablekin.llm.substring_dedup import without_repeats
+
+#: Documents of which even the likeliest language has less are rejected.
+LEAST_SCORE = 0.4
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter and a recognisable language; where lang is null it is filled in."""
+    told = predict_language(docs, train_language_id(docs), pred="_lang_pred", score="_lang_score")
+    return told.where(f"_lang_pred <> '{UND}' AND _lang_score >= {LEAST_SCORE}").selectExpr(*["coalesce(lang, _lang_pred) AS lang" if c == "lang" else f"`{c}`" for c in docs.columns])
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return without_near_duplicates(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that start anywhere else as well; documents that were nothing else go."""
+    return without_repeats(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixed(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("substring_dedup", substring_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: Learned and probabilistic stages have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

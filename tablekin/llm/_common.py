@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a maximal run of anything but the six ASCII white space characters; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -102,23 +103,45 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
         width, power = 2 * width, power * power % (1 << 64)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], schema: str | StructType) -> DataFrame:
     """mapInArrow where make() builds the per-task function; that takes a batch and yields dicts of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    kind = to_arrow_schema(_parse_datatype_string(schema))
+    kind = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = None
         for batch in batches:
             one = one or make()
             for cols in one(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in kind], schema=kind)
+                yield pa.RecordBatch.from_arrays([_as_array(cols[f.name], f.type) for f in kind], schema=kind)
 
     return df.mapInArrow(run, schema)
 
 
+def _as_array(values, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
+def arrow_add(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], new: str) -> DataFrame:
+    """df with further columns, new, that a per-task function gets from each batch; the others pass through as they are."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    fields = _parse_datatype_string(new).fields
+    more = to_arrow_schema(StructType(fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = None
+        for batch in batches:
+            one = one or make()
+            cols = one(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[_as_array(cols[f.name], f.type) for f in more]], names=[*batch.schema.names, *more.names])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *fields]))
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch cut so that the strings of a column come to about limit bytes at most, or one row."""
     sizes = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)).astype(np.int64))

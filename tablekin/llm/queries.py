@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
+from .ann import nearest_neighbours
+from .language_id import identify_languages
 from .mixing import mix_sources
+from .near_dup import near_duplicates
 from .packing import pack
+from .quality_forest import quality_rules, train_quality
 from .sharding import shard_by_bytes
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
@@ -39,17 +43,39 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality_rules(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc_revisits": op2_warc_revisits,
     "op3_token_counts": op3_token_counts,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
+    "op7_near_duplicates": op7_near_duplicates,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_mixing": op9_mixing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE = {

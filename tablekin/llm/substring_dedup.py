@@ -17,10 +17,12 @@ A block is never gathered: phrases meet by aggregates that combine before the sh
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ._common import BASE, BASE_INVERSE, WordHashes, arrow_map, grams, slices, words_of, written
 
@@ -55,9 +57,9 @@ def phrases(h: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, .
     return first, count, g[at[first]], body ^ (shape * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _key(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
     return df.select(
-        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
+        F.struct(*[F.col(c) for c in carry]).alias("_rest"), F.col(text_col).alias("_text"),
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"),
         F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).bitwiseAND((1 << 24) - 1).cast("int").alias("_check"),
     )
@@ -121,8 +123,8 @@ def _cut_rows(window: int):
     def make():
         def one(batch):
             for part in slices(batch, "_text"):
-                out = {c: [] for c in ("_id", "n_words", "n_removed", "kept_sha256", "kept_text")}
-                for ident, text, check, marks in zip(*(part.column(c).to_pylist() for c in ("_id", "_text", "_check", "marks")), strict=True):
+                out = {c: [] for c in ("n_words", "n_removed", "kept_sha256", "kept_text")}
+                for text, check, marks in zip(*(part.column(c).to_pylist() for c in ("_text", "_check", "marks")), strict=True):
                     words, gone = words_of(text), 0
                     if marks:
                         p = np.array(marks, np.int64)
@@ -137,26 +139,27 @@ def _cut_rows(window: int):
                         if gone:
                             words = [w for w, c in zip(words, cover.tolist(), strict=True) if not c]
                     kept = b" ".join(words)
-                    for c, v in zip(out, (ident, len(words) + gone, gone, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if gone else text), strict=True):
+                    for c, v in zip(out, (len(words) + gone, gone, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if gone else text), strict=True):
                         out[c].append(v)
-                yield out
+                yield out | {"_rest": part.column("_rest")}
 
         return one
 
     return make
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, carry: Sequence[str] = ()) -> DataFrame:
     """Remove each word that lies in a `window`-word sequence starting anywhere else in the corpus as well.
 
     Returns a row per row of docs: `id_col`, n_words, n_removed, kept_sha256 and kept_text: the kept words joined by a
-    space, or the text as it was if nothing goes. A null or empty text has no words and stays. Repeated rows count as
+    space, or the text as it was if nothing goes; then the columns `carry`. A null or empty text has no words and stays. Repeated rows count as
     documents of their own, so all of a repeated long text goes. Null ids are ids like others. An empty table gives an
     empty one. Other columns are not read. Texts shorter than a window are kept.
     """
     if not GRAM < window < 256:
         raise ValueError(f"a window has {GRAM + 1} to 255 words")
-    base = _key(docs, id_col, text_col)
+    columns = [id_col, *[c for c in carry if c != id_col]]
+    base = _key(docs, id_col, text_col, columns)
     found = written(arrow_map(base.select("_text", "_key", "_check"), _phrase_rows(window), "k long, place long, anchor long, phrase long"), "phrases")
     blocks = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi")).where("n > 1")
     met = written(found.join(blocks.select("anchor", (F.col("lo") == F.col("hi")).alias("whole")), "anchor"), "met")
@@ -164,11 +167,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = mixed.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("k", "place")).alias("first"))
     again = mixed.join(each.where("n > 1").select("anchor", "phrase"), ["anchor", "phrase"]).select("k", "place")
     asked = each.select("first.*", F.col("n") > 1).groupBy("k").agg(F.collect_list("place").alias("asked"))
-    texts = base.select("_id", "_text", "_key", "_check")
-    edges = arrow_map(texts.join(asked, texts["_key"] == asked["k"]).select("_id", "_text", "_key", "_check", "asked"), _boundary_rows(window), "k long, place long, body long")
+    texts = base.select("_rest", "_text", "_key", "_check")
+    edges = arrow_map(texts.join(asked, texts["_key"] == asked["k"]).select("_rest", "_text", "_key", "_check", "asked"), _boundary_rows(window), "k long, place long, body long")
     edges = written(edges.dropDuplicates(["k", "place", "body"]), "edges")
     twice = edges.groupBy("body").agg(F.count("*").alias("n")).where("n > 1").select("body")
     marks = met.where("whole").select("k", "place").unionByName(again).unionByName(edges.join(twice, "body").select("k", "place"))
     marks = marks.groupBy("k").agg(F.collect_set("place").alias("marks"))
-    cut = arrow_map(texts.join(marks, texts["_key"] == marks["k"], "left").select("_id", "_text", "_check", "marks"), _cut_rows(window), f"_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return cut.withColumnRenamed("_id", id_col)
+    kind = StructType([base.schema["_rest"], *_parse_datatype_string("n_words long, n_removed long, kept_sha256 string, kept_text string").fields])
+    cut = arrow_map(texts.join(marks, texts["_key"] == marks["k"], "left").select("_rest", "_text", "_check", "marks"), _cut_rows(window), kind)
+    return cut.select(F.col("_rest")[id_col].alias(id_col), "n_words", "n_removed", "kept_sha256", "kept_text", *[F.col("_rest")[c].alias(c) for c in columns[1:]])
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", window: int = 35) -> DataFrame:
+    """docs with all columns, the text (and its length in `chars_col`) cut as substring_dedup() says; rows of which nothing is left go."""
+    cut = substring_dedup(docs, id_col, text_col, window, [c for c in docs.columns if c not in (id_col, text_col, chars_col)])
+    cut = cut.where("n_removed = 0 OR n_removed < n_words").withColumns({text_col: F.col("kept_text"), chars_col: F.length("kept_text").cast("long")})
+    return cut.select(*docs.columns)
