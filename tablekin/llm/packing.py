@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,13 +22,15 @@ class WordIds(dict):
     """Token ids of words (bytes) as little-endian bytes, for tokenizers that never join text across white space.
 
     The ids of a text are then those of its words, one after the other. Words unknown so far are encoded by the
-    library. The memory empties itself at a fixed size.
+    library. At a fixed size all words become the older generation and the one before is forgotten, so that memory is
+    bounded and frequent words stay.
     """
 
-    limit = 200_000
+    limit = 300_000
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -34,12 +38,20 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        ids = self.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-        self[word] = out = np.array(ids, "<u4").tobytes()
+        if (out := self.older.get(word)) is None:
+            out = array("I", self.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids).tobytes()
+        self[word] = out
         return out
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One memory for all tasks of a Python worker."""
+    return WordIds(path)
+
+
 class Windows:
     """Open windows by remaining capacity, and a segment tree over capacities that finds the tightest one that fits."""
 
@@ -91,7 +103,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def _pieces(path: str, end_id: int, capacity: int):
     def make():
-        cache, end = WordIds(path), np.array([end_id], "<u4").tobytes()
+        cache, end = word_ids(path), np.array([end_id], "<u4").tobytes()
 
         def one(batch):
             for part in slices(batch, "_text"):
