@@ -179,7 +179,7 @@ def test_packing_covers_each_id_once(spark, odd):
 def test_word_ids_forget_and_stay_right():
     cache = WordIds(P.path("word_bpe_49k.json"))
     cache.limit = 3
-    words = [b"Hello,", b"don't", b"a1b2", b"x<|endoftext|>y", "É́".encode()] * 3
+    words = [b"Hello,", b"HELLO.", b"A.", b"b.,", b".", b"<|ENDOFTEXT|>", b"don't", b"don't,", "É.".encode(), "ß,".encode(), b"a1b2", b"x<|endoftext|>y", "É́".encode()] * 3
     text = b" \n".join(words).decode()
     assert list(np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4")) == cache.encode(text, add_special_tokens=False).ids
 
