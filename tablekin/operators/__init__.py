@@ -1,0 +1 @@
+"""Operators of discovery."""
