@@ -13,7 +13,7 @@ from tablekin.llm.queries import tokenizer_path
 from tablekin.llm.substring_dedup import without_repeats
 
 #: Documents of which even the likeliest language has less are rejected.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,9 @@ from pyspark.sql.window import Window
 from ._common import arrow_add, arrow_map, slices
 
 UNIT = 32  # bytes of a longest unit; longer words are several
+#: Units in a batch. A step's matrix product then stays below the size from which OpenBLAS starts threads, which for such
+#: small products cost many times their work.
+BATCH = 1024
 UND = "und"
 
 
@@ -26,7 +29,7 @@ class ByteGRU:
     mask holds the state still at padding, so a unit's result does not depend on the others.
     """
 
-    def __init__(self, labels: list[str], hidden: int = 16, seed: int = 0):
+    def __init__(self, labels: list[str], hidden: int = 8, seed: int = 0):
         rng, n = np.random.default_rng(seed), len(labels)
         self.labels, self.hidden = labels, hidden
         self.p = {}
@@ -77,7 +80,7 @@ class ByteGRU:
         f, tf = self._run("f", ids, mask, keep)
         b, tb = self._run("b", ids, mask, keep)
         both = np.concatenate([f, b], 2)
-        logits = both @ self.p["o"] + self.p["oc"]
+        logits = np.stack([x @ self.p["o"] for x in both]) + self.p["oc"]
         logits -= logits.max(2, keepdims=True)
         logits -= np.log(np.exp(logits).sum(2, keepdims=True))
         return logits, both, tf, tb
@@ -94,10 +97,9 @@ class ByteGRU:
         d *= (mask / total)[:, :, None]
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
         H = self.hidden
-        flat = both.reshape(-1, 2 * H)
-        grad["o"] = flat.T @ d.reshape(-1, d.shape[2])
+        grad["o"] = sum(x.T @ y for x, y in zip(both, d, strict=True))
         grad["oc"] = d.sum((0, 1))
-        ds = d @ self.p["o"].T
+        ds = np.stack([x @ self.p["o"].T for x in d])
         self._back("f", ids, mask, tf, ds[:, :, :H], grad)
         self._back("b", ids, mask, tb, ds[:, :, H:], grad)
         return float(value), grad
@@ -123,8 +125,8 @@ class ByteGRU:
         """For each unit the log probabilities summed over its positions, and the number of positions."""
         out = np.empty((len(units), len(self.labels) + 1), np.float64)
         order = sorted(range(len(units)), key=lambda i: len(units[i]))
-        for a in range(0, len(order), 2048):
-            some = order[a : a + 2048]
+        for a in range(0, len(order), BATCH):
+            some = order[a : a + BATCH]
             ids, mask = padded([units[i] for i in some])
             logp = self._forward(ids, mask)[0]
             out[some, :-1] = (logp * mask[:, :, None]).sum(0)
@@ -171,7 +173,7 @@ class UnitScores(dict):
         return total
 
     def add(self, units: set[bytes]) -> None:
-        new = units.difference(self)
+        new = {u for u in units if u not in self}  # set.difference() would walk through all of self
         if new and len(self) + len(new) > self.limit:
             self.clear()
             new = units
@@ -219,7 +221,7 @@ def train_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     labels = sorted({r.lang for r in sample}, key=lambda x: x.encode("utf-8", "surrogatepass"))
     pairs = sorted((labels.index(r.lang), bytes(u)) for r in sample for u in r.units)
     model = ByteGRU(labels, seed=seed)
-    model.train([u for _, u in pairs], np.array([k for k, _ in pairs]), seed=seed)
+    model.train([u for _, u in pairs], np.array([k for k, _ in pairs]), epochs=max(3, 300 * 256 // len(pairs)), seed=seed)
     return model
 
 
