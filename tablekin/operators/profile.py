@@ -161,18 +161,19 @@ def value_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def pair_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(a, b, n_shared, dot, rows_a, rows_b) for column numbers a <= b with a value in common.
+    """(a, b, n_shared, dot, rows_a, rows_b, content) for column numbers a <= b with a value in common.
 
     dot sums the products of counts; rows_a and rows_b sum the rows of the shared values. For a = b these are a column's
-    distinct count and the square of its norm.
+    distinct count and the square of its norm, and content is a sum of hashes of its values and their counts.
     """
     held = value_counts(tables).groupBy("v", "w").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("x"))
-    one = held.select(F.explode("x").alias("a"), "x")
-    both = one.select("a", F.explode(F.filter("x", lambda y: y["c"] >= F.col("a.c"))).alias("b"))
+    one = held.select(F.explode("x").alias("a"), "x", "v", "w")
+    both = one.select("a", "v", "w", F.explode(F.filter("x", lambda y: y["c"] >= F.col("a.c"))).alias("b"))
     n, m = F.col("a.n").cast("double"), F.col("b.n").cast("double")
     return both.groupBy(F.col("a.c").alias("a"), F.col("b.c").alias("b")).agg(
-        F.count("*").alias("n_shared"), F.sum(n * m).alias("dot"), F.sum("a.n").alias("rows_a"), F.sum("b.n").alias("rows_b")
-    )
+        F.count("*").alias("n_shared"), F.sum(n * m).alias("dot"), F.sum("a.n").alias("rows_a"), F.sum("b.n").alias("rows_b"),
+        F.sum(F.when(F.col("a.c") == F.col("b.c"), F.xxhash64("v", "w", "a.n")).cast("decimal(20,0)")).cast("string").alias("content"),
+    )
 
 
 @dataclass
@@ -196,6 +197,7 @@ class Profile:
     private: str | None
     n_distinct: int = 0
     square: float = 0.0
+    content: str | None = None
 
     @property
     def unique(self) -> bool:
@@ -265,7 +267,7 @@ def scan(tables: Mapping[str, DataFrame], content: bool = True, keep: Scan | Non
         for r in pair_counts(tables).collect():
             a, b = names[r.a], names[r.b]
             if r.a == r.b:
-                out.profiles[a].n_distinct, out.profiles[a].square = r.n_shared, r.dot
+                out.profiles[a].n_distinct, out.profiles[a].square, out.profiles[a].content = r.n_shared, r.dot, r.content
             elif content:
                 out.pairs[a, b] = Shared(r.n_shared, r.dot, r.rows_a)
                 out.pairs[b, a] = Shared(r.n_shared, r.dot, r.rows_b)

@@ -1,0 +1 @@
+"""Whole runs: discovery of links and keys, kept up to date."""

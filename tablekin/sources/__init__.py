@@ -1,0 +1 @@
+"""Readers of files, schema documents and databases."""

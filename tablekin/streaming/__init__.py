@@ -1,0 +1 @@
+"""Discovery over tables that grow by streams."""
