@@ -22,11 +22,12 @@ class WordIds(dict):
     """Token ids of words (bytes) as little-endian bytes, for tokenizers that never join text across white space.
 
     The ids of a text are then those of its words, one after the other. Words unknown so far are encoded by the
-    library. At a fixed size all words become the older generation and the one before is forgotten, so that memory is
+    library; this tokenizer lowers letters and parts them from marks, so a capital or a last comma or full stop needs no
+    encoding of its own. At a fixed size all words become the older generation and the one before is forgotten, so that memory is
     bounded and frequent words stay.
     """
 
-    limit = 300_000
+    limit = 500_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -40,7 +41,13 @@ class WordIds(dict):
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
-        if (out := self.older.get(word)) is None:
+        if (out := self.older.get(word)) is not None:
+            pass
+        elif b"<|" not in word and (low := word.lower()) != word:
+            out = self[low]
+        elif len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122:
+            out = self[word[:-1]] + self[word[-1:]]
+        else:
             out = array("I", self.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids).tobytes()
         self[word] = out
         return out
