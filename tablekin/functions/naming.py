@@ -62,7 +62,7 @@ _SIGNS = {"%": "_percent_", "#": "_number_", "'": "", '"': ""}
 def clean_name(name: str) -> str:
     """snake_case: CustomerID -> customer_id, `order items` -> order_items, Sort# -> sort_number."""
     x = "".join(_SIGNS.get(c, c) for c in str(name))
-    x = unicodedata.normalize("NFKD", x)
+    x = unicodedata.normalize("NFKD", x.replace("ß", "ss"))
     x = "".join(c for c in x if not unicodedata.combining(c))
     x = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", x)
     x = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", x)

@@ -313,6 +313,8 @@ def null_pattern(one: DataFrame, column: str, other: DataFrame, other_column: st
     a = one.select(F.col(order).alias("k"), F.col(column).isNull().cast("double").alias("x"))
     b = other.select(F.col(order).alias("k"), F.col(other_column).isNull().cast("double").alias("y"))
     sizes = a.agg(F.count("*").alias("n")).crossJoin(b.agg(F.count("*").alias("m")))  # a row each
-    met = a.join(b, "k").agg(F.count("*").alias("met"), F.corr("x", "y").alias("r"))
+    met = a.join(b, "k").agg(F.count("*").cast("double").alias("met"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    spread = F.sqrt((F.col("met") * F.col("sx") - F.col("sx") * F.col("sx")) * (F.col("met") * F.col("sy") - F.col("sy") * F.col("sy")))
+    met = met.select("met", ((F.col("met") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(spread, F.lit(0.0))).alias("r"))
     same = (F.col("n") == F.col("m")) & (F.col("met") == F.col("n"))
-    return sizes.crossJoin(met).select(F.when(same & F.col("r").isNotNull() & ~F.isnan("r"), F.col("r")).otherwise(F.lit(0.0)).alias("r"))
+    return sizes.crossJoin(met).select(F.when(same & F.col("r").isNotNull(), F.col("r")).otherwise(F.lit(0.0)).alias("r"))

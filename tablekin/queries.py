@@ -10,7 +10,7 @@ from .functions.naming import clean_name, is_pk_name, strip_table_prefix
 from .operators.dictionary import build_dictionary, dictionary_frame, markdown
 from .operators.erd import erd_frames
 from .operators.keys import detect_keys
-from .operators.links import LINKS, links_frame
+from .operators.links import links_frame
 from .operators.order_stats import example_values, numeric_ranges
 from .operators.privacy import review_queue
 from .operators.profile import column_stats, comparison_frame, null_pattern, profile_frame, scan
@@ -54,7 +54,7 @@ def _known(spark: SparkSession, sf_dir: str) -> Discovery:
 
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = profile_frame(load(spark, sf_dir))
-    return out.select("table", "column", "n_rows", "n_null", "n_distinct", F.coalesce("is_unique", F.lit(False)).alias("is_unique"), F.round("count_norm", 4).alias("count_norm"))
+    return out.select("table", "column", "n_rows", "n_null", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), F.coalesce("is_unique", F.lit(False)).alias("is_unique"), F.round("count_norm", 4).alias("count_norm"))
 
 
 def text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +301,7 @@ N_COLUMNS = len(COLUMNS)
 
 ORACLE = {
     "column_profile": _each(
-        lambda t, c, k: f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_null, NULL AS n_distinct, false AS is_unique, 0.0::DOUBLE AS count_norm FROM {t}"
+        lambda t, c, k: f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_null, CAST(0 AS BIGINT) AS n_distinct, false AS is_unique, 0.0::DOUBLE AS count_norm FROM {t}"
         if k == "-"
         else f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) - count({c}) FROM {t}) AS n_null, count(*) AS n_distinct, count(*) = (SELECT count(*) FROM {t}) AS is_unique, round(sqrt(sum(n::DOUBLE * n)), 4) AS count_norm FROM (SELECT {c}, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c})",
         "nts-",
@@ -334,5 +334,3 @@ CASE WHEN p < 2000 OR sec < 5 THEN 'fast' WHEN p < 15000 OR sec < 30 THEN 'moder
         "nts-",
     ),
 }
-
-assert LINKS
