@@ -126,7 +126,7 @@ def parse_data_dict(spark: SparkSession, doc: dict) -> Declared:
             if any(c.get(f) is None for f in ("from_table", "from_col", "to_table", "to_col")):
                 continue
             carried += 1
-            why = ["candidate carried through a data-dict round trip", *[text(c["evidence"])] * bool(c.get("evidence"))]
+            why = ["candidate carried through a data-dict round trip", *([text(c["evidence"])] if c.get("evidence") else [])]
             score = c.get("score")
             out.links.append(
                 Link(*(text(c[f]) for f in ("from_table", "from_col", "to_table", "to_col")), text(c.get("detected_by") or "import"), text(c.get("confidence") or "low"), None if score is None else float(score), {}, tuple(why), origin=EXTENSION)
