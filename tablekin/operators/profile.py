@@ -33,90 +33,87 @@ def kind_of(dtype: T.DataType) -> str | None:
     return "string" if isinstance(dtype, T.StringType | T.BooleanType | T.CharType | T.VarcharType) else None
 
 
-def col_of(field: T.StructField) -> Column:
+# Expressions are put together as SQL text: building them call by call costs more than running them on small tables.
+
+
+def sql_col(field: T.StructField) -> str:
     """The column with NaN as null."""
-    c = F.col(f"`{field.name}`")
-    return F.when(~F.isnan(c), c) if isinstance(field.dataType, T.FractionalType) and not isinstance(field.dataType, T.DecimalType) else c
+    c = "`" + field.name.replace("`", "``") + "`"
+    return f"nanvl({c}, null)" if isinstance(field.dataType, T.FloatType | T.DoubleType) else c
 
 
-def is_whole(c: Column) -> Column:
-    d = c.cast("double")
-    return (d == F.floor(d).cast("double")) | (F.abs(d) == float("inf"))
+def sql_whole(c: str) -> str:
+    d = f"cast({c} AS double)"
+    return f"({d} = cast(floor({d}) AS double) OR abs({d}) = double('infinity'))"
 
 
-def as_text(field: T.StructField) -> Column:
+def sql_text(field: T.StructField) -> str:
     """How a value reads: whole numbers without a fraction."""
-    c = col_of(field)
+    c = sql_col(field)
     if isinstance(field.dataType, T.IntegralType):
-        return c.cast("string")
+        return f"cast({c} AS string)"
     if isinstance(field.dataType, T.NumericType):
-        small = is_whole(c) & (F.abs(c.cast("double")) < 1e18)
-        return F.when(small, F.when(small, c).cast("long").cast("string")).otherwise(c.cast("string"))
+        small = f"{sql_whole(c)} AND abs(cast({c} AS double)) < 1e18"
+        return f"CASE WHEN {small} THEN cast(cast(CASE WHEN {small} THEN {c} END AS bigint) AS string) ELSE cast({c} AS string) END"
     if isinstance(field.dataType, T.BooleanType):
-        return F.upper(c.cast("string"))
+        return f"upper(cast({c} AS string))"
     if isinstance(field.dataType, T.DateType):
-        return F.date_format(c, "yyyy-MM-dd")
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss") if kind_of(field.dataType) == "datetime" else c.cast("string")
+        return f"date_format({c}, 'yyyy-MM-dd')"
+    return f"date_format({c}, 'yyyy-MM-dd HH:mm:ss')" if kind_of(field.dataType) == "datetime" else f"cast({c} AS string)"
 
 
-def _share(test: Column, of: Column) -> Column:
-    return F.count_if(test & of) / F.nullif(F.count_if(of), F.lit(0))
+def col_of(field: T.StructField) -> Column:
+    return F.expr(sql_col(field))
 
 
-def _first_at(tests: list[tuple[str, Column]], least: float) -> Column:
-    """The first name whose share reaches least."""
-    out = reduce(lambda now, t: now.when(t[1] >= least, F.lit(t[0])), tests, F.when(F.lit(False), F.lit("")))
-    return out.otherwise(F.lit(None))
+def as_text(field: T.StructField) -> Column:
+    return F.expr(sql_text(field))
+
 
+def _share(text: str, pattern: str, some: str) -> str:
+    return f"try_divide(count_if(rlike({text}, r'{pattern}') AND {some}), count_if({some}))"
 
-def fingerprint(field: T.StructField) -> Column:
+
+def fingerprint(field: T.StructField) -> str:
     """The first format that at least 80 % of the non-null values have. Numbers can only look like codes, zips or phones."""
-    kind, text = kind_of(field.dataType), as_text(field)
+    kind, text = kind_of(field.dataType), sql_text(field)
     names = {"numeric": ("zip_us", "phone", "int_code"), "datetime": ("iso_ts", "iso_date", "phone")}.get(kind)
-    return _first_at([(n, _share(text.rlike("(?i)" + p), text.isNotNull())) for n, p in FORMATS if not names or n in names], FORMAT_SHARE)
+    tests = [f"WHEN {_share(text, '(?i)' + p, f'({text}) IS NOT NULL')} >= {FORMAT_SHARE} THEN '{n}'" for n, p in FORMATS if not names or n in names]
+    return f"CASE {' '.join(tests)} END"
 
 
-def private_values(field: T.StructField) -> Column:
+def private_values(field: T.StructField) -> str:
     """What at least 80 % of the trimmed, non-blank values look like, if personal: `NN% of values look like ...`."""
-    text = F.trim(as_text(field))
-    some = text.isNotNull() & (text != "")
-    shares = [(what, _share(text.rlike(p), some)) for what, p in PRIVATE_VALUES]
-    out = F.when(F.lit(False), F.lit(""))
-    for what, share in shares:
-        out = out.when(share >= PRIVATE_SHARE, F.concat(F.round(100 * share).cast("int").cast("string"), F.lit(f"% of values look like {what}")))
-    return out.otherwise(F.lit(None))
+    text = f"trim({sql_text(field)})"
+    shares = [(what, _share(text, p, f"{text} <> ''")) for what, p in PRIVATE_VALUES]
+    return "CASE " + " ".join(f"WHEN {s} >= {PRIVATE_SHARE} THEN concat(cast(cast(round(100 * {s}) AS int) AS string), '% of values look like {what}')" for what, s in shares) + " END"
 
 
 def column_stats(name: str, df: DataFrame) -> DataFrame:
     """A row (STATS) for each column of a table, from one aggregate without distinct counts."""
-    none = F.lit(None)
-    aggs, rows = [F.count("*").alias("n")], []
+    aggs, rows = ["count(*) AS n"], []
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     for i, f in enumerate(df.schema):
-        c, kind = col_of(f), kind_of(f.dataType)
-        number = c.cast("double") if kind == "numeric" else None
-        size = F.length(c) if isinstance(f.dataType, T.StringType) else None
-        aggs.append(
-            F.struct(
-                F.count(c).alias("n_some"),
-                (F.min(is_whole(c)) if kind == "numeric" else none).cast("boolean").alias("whole"),
-                (F.min(number) if kind == "numeric" else none).cast("double").alias("lo"),
-                (F.max(number) if kind == "numeric" else none).cast("double").alias("hi"),
-                (F.min(size) if size is not None else none).cast("int").alias("len_min"),
-                (F.percentile(size, 0.5) if size is not None else none).cast("double").alias("len_median"),
-                (F.max(size) if size is not None else none).cast("int").alias("len_max"),
-                (fingerprint(f) if kind else none).cast("string").alias("fingerprint"),
-                (private_values(f) if kind == "string" and not isinstance(f.dataType, T.BooleanType) else none).cast("string").alias("private"),
-            ).alias(f"c{i}")
-        )
-        s = F.col(f"c{i}")
-        rows.append(
-            F.struct(
-                F.lit(name).alias("table"), F.lit(f.name).alias("column"), F.lit(i).alias("position"), F.lit(f.dataType.simpleString()).alias("spark_type"),
-                F.lit(kind).cast("string").alias("kind"), F.col("n").alias("n_rows"), (F.col("n") - s["n_some"]).alias("n_null"),
-                *[s[x].alias(x) for x in ("whole", "lo", "hi", "len_min", "len_median", "len_max", "fingerprint", "private")],
-            )
-        )
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+        c, kind = sql_col(f), kind_of(f.dataType)
+        number = f"cast({c} AS double)" if kind == "numeric" else "cast(null AS double)"
+        size = f"length({c})" if isinstance(f.dataType, T.StringType) else "cast(null AS int)"
+        words = kind == "string" and not isinstance(f.dataType, T.BooleanType)
+        parts = {
+            "n_some": f"count({c})",
+            "whole": f"min({sql_whole(c)})" if kind == "numeric" else "cast(null AS boolean)",
+            "lo": f"min({number})",
+            "hi": f"max({number})",
+            "len_min": f"min({size})",
+            "len_median": f"percentile({size}, 0.5)" if isinstance(f.dataType, T.StringType) else "cast(null AS double)",
+            "len_max": f"max({size})",
+            "fingerprint": fingerprint(f) if kind else "cast(null AS string)",
+            "private": private_values(f) if words else "cast(null AS string)",
+        }
+        aggs.append(f"named_struct({', '.join(f"'{k}', {v}" for k, v in parts.items())}) AS c{i}")
+        head = f"'table', {quoted(name)}, 'column', {quoted(f.name)}, 'position', {i}, 'spark_type', {quoted(f.dataType.simpleString())}, 'kind', {quoted(kind) if kind else 'cast(null AS string)'}"
+        tail = ", ".join(f"'{k}', c{i}.{k}" for k in parts if k != "n_some")
+        rows.append(f"named_struct({head}, 'n_rows', n, 'n_null', n - c{i}.n_some, {tail})")
+    return df.selectExpr(*aggs).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -128,21 +125,18 @@ def columns_of(tables: Mapping[str, DataFrame]) -> list[tuple[str, str]]:
     return [(t, f.name) for t, df in tables.items() for f in df.schema if kind_of(f.dataType)]
 
 
-def _hashes(field: T.StructField) -> tuple[Column, Column]:
+def _hashes(field: T.StructField) -> tuple[str, str]:
     """Two hashes of a value; equal numbers of any type have equal ones, and kinds never meet."""
-    c = col_of(field)
-    if kind_of(field.dataType) == "numeric":
-        if isinstance(field.dataType, T.IntegralType):
-            return F.xxhash64(F.lit("n"), c.cast("long")), F.hash(c.cast("long"))
-        d = c.cast("double")
-        small = is_whole(c) & (F.abs(d) < 9e18)
-        n = F.when(small, d).cast("long")
-        return F.when(small, F.xxhash64(F.lit("n"), n)).otherwise(F.xxhash64(F.lit("f"), d)), F.when(small, F.hash(n)).otherwise(F.hash(d))
-    if kind_of(field.dataType) == "datetime":
-        c = c.cast("timestamp_ntz").cast("string") if isinstance(field.dataType, T.TimestampType) else c.cast("timestamp_ntz")
-        return F.xxhash64(F.lit("t"), c.cast("timestamp_ntz")), F.hash(c.cast("timestamp_ntz"))
-    text = as_text(field)
-    return F.xxhash64(F.lit("s"), text), F.hash(text)
+    c, kind = sql_col(field), kind_of(field.dataType)
+    if isinstance(field.dataType, T.IntegralType):
+        return f"xxhash64('n', cast({c} AS bigint))", f"hash(cast({c} AS bigint))"
+    if kind == "numeric":
+        d = f"cast({c} AS double)"
+        small = f"({sql_whole(c)} AND abs({d}) < 9e18)"
+        n = f"cast(CASE WHEN {small} THEN {d} END AS bigint)"
+        return f"CASE WHEN {small} THEN xxhash64('n', {n}) ELSE xxhash64('f', {d}) END", f"CASE WHEN {small} THEN hash({n}) ELSE hash({d}) END"
+    x = f"cast({c} AS timestamp_ntz)" if kind == "datetime" else sql_text(field)
+    return f"xxhash64('{kind[0]}', {x})", f"hash({x})"
 
 
 def value_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -150,13 +144,13 @@ def value_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     number = {k: i for i, k in enumerate(columns_of(tables))}
     parts = []
     for t, df in tables.items():
-        rows = [
-            F.struct(F.lit(number[t, f.name]).alias("c"), *[h.alias(x) for x, h in zip("vw", _hashes(f), strict=True)], col_of(f).isNotNull().alias("some"))
-            for f in df.schema
-            if (t, f.name) in number
-        ]
+        rows = []
+        for f in df.schema:
+            if (t, f.name) in number:
+                v, w = _hashes(f)
+                rows.append(f"named_struct('c', {number[t, f.name]}, 'v', {v}, 'w', {w}, 'some', {sql_col(f)} IS NOT NULL)")
         if rows:
-            parts.append(df.select(F.inline(F.array(*rows))).where("some").select("c", "v", "w"))
+            parts.append(df.selectExpr(f"inline(array({', '.join(rows)}))").where("some").select("c", "v", "w"))
     return _union(parts).groupBy("c", "v", "w").agg(F.count("*").alias("n"))
 
 
