@@ -66,7 +66,7 @@ def mix_plan(sized: DataFrame, weights: Sequence[float], share: float, most: flo
     run = dealt.withColumn("_run", F.sum("_size").over(here))
     run = run.join(parts.join(plan, "_source").select("_source", "_pid", "_base", "_rest"), ["_source", "_pid"])
     last = run.where((F.col("_rest") > 0) & (F.col("_base") + F.col("_run") - F.col("_size") / 2 <= F.col("_rest"))).groupBy("_source").agg(F.max(F.struct("_key", "_id")).alias("_last"))
-    return plan.join(last, "_source", "left").select("_source", "source_size", "target", "epochs", "_last")
+    return written(plan.join(last, "_source", "left").select("_source", "source_size", "target", "epochs", "_last"), "plan")
 
 
 def _copies() -> Column:
