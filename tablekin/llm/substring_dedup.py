@@ -162,15 +162,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = _key(docs, id_col, text_col, columns)
     found = written(arrow_map(base.select("_text", "_key", "_check"), _phrase_rows(window), "k long, place long, anchor long, phrase long"), "phrases")
     blocks = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi")).where("n > 1")
-    met = written(found.join(blocks.select("anchor", (F.col("lo") == F.col("hi")).alias("whole")), "anchor"), "met")
+    blocks = written(blocks.select("anchor", (F.col("lo") == F.col("hi")).alias("whole")), "blocks")  # else a frequent anchor's rows can't be split
+    met = written(found.join(blocks, "anchor"), "met")
     mixed = met.where("not whole")
-    each = mixed.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("k", "place")).alias("first"))
+    each = written(mixed.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("k", "place")).alias("first")), "each")
     again = mixed.join(each.where("n > 1").select("anchor", "phrase"), ["anchor", "phrase"]).select("k", "place")
-    asked = each.select("first.*", F.col("n") > 1).groupBy("k").agg(F.collect_list("place").alias("asked"))
+    asked = each.select("first.*").groupBy("k").agg(F.collect_list("place").alias("asked"))
     texts = base.select("_rest", "_text", "_key", "_check")
     edges = arrow_map(texts.join(asked, texts["_key"] == asked["k"]).select("_rest", "_text", "_key", "_check", "asked"), _boundary_rows(window), "k long, place long, body long")
     edges = written(edges.dropDuplicates(["k", "place", "body"]), "edges")
-    twice = edges.groupBy("body").agg(F.count("*").alias("n")).where("n > 1").select("body")
+    twice = written(edges.groupBy("body").agg(F.count("*").alias("n")).where("n > 1").select("body"), "twice")
     marks = met.where("whole").select("k", "place").unionByName(again).unionByName(edges.join(twice, "body").select("k", "place"))
     marks = marks.groupBy("k").agg(F.collect_set("place").alias("marks"))
     kind = StructType([base.schema["_rest"], *_parse_datatype_string("n_words long, n_removed long, kept_sha256 string, kept_text string").fields])
