@@ -109,20 +109,25 @@ def _matrix(column) -> np.ndarray:
 
 
 def _top(k: int):
-    """The k nearest of a part of a list for each query that searches it; distances in double precision from the vectors themselves."""
+    """The k nearest of a bucket of lists for each query that searches some of them; distances in double precision from
+    the vectors themselves."""
 
     def run(keys, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(left) and len(right):
             x = np.stack(left["v"].to_numpy()).astype(np.float64)
             ids, first = left["ids"].to_numpy(), np.array([i[0] for i in left["ids"]])
-            for a in range(0, len(right), 256):
-                part = right.iloc[a : a + 256]
+            names, own = np.unique(left["list"].to_numpy(), return_inverse=True)
+            for a in range(0, len(right), 128):
+                part = right.iloc[a : a + 128]
                 qs = np.stack(part["v"].to_numpy()).astype(np.float64)
-                rough = _squares(qs, x)
-                m = min(len(x), 3 * k)
+                searched = np.stack([np.isin(names, some) for some in part["lists"]])
+                rough = np.where(searched[:, own], _squares(qs, x), np.inf)
+                m = min(len(x), 4 * k)  # a row may be in two lists of the bucket
                 near = np.argpartition(rough, m - 1, 1)[:, :m] if m < len(x) else np.broadcast_to(np.arange(m), rough.shape)
-                for q, key, some in zip(qs, part["q"], near, strict=True):
+                for i, (q, key) in enumerate(zip(qs, part["q"], strict=True)):
+                    some = near[i][np.isfinite(rough[i][near[i]])]
+                    some = some[np.unique(first[some], return_index=True)[1]]
                     d = np.sqrt(((x[some] - q) ** 2).sum(1))
                     for j in np.lexsort((first[some], d))[:k]:
                         out.append((key, float(d[j]), int(first[some[j]]), ids[some[j]]))
@@ -131,9 +136,25 @@ def _top(k: int):
     return run
 
 
+def buckets_of(index: ListIndex, counts: dict[int, int], most: int) -> list[tuple[int, int, int, int]]:
+    """(list, parts, part, bucket): lists of over `most` rows in parts; near ones together in buckets of about `most` rows."""
+    middle = index.centroids - index.centroids.mean(0)
+    axis = np.linalg.svd(middle, full_matrices=False)[2][0]
+    out, bucket, held = [], 0, 0
+    for c in sorted(counts, key=lambda c: (float(middle[c] @ axis), c)):
+        parts = -(-counts[c] // most)
+        for p in range(parts):
+            rows = counts[c] // parts
+            if held and held + rows > most:
+                bucket, held = bucket + 1, 0
+            held += rows
+            out.append((c, parts, p, bucket))
+    return out
+
+
 def nearest_neighbours(
     vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-    sample: int = 20_000, list_rows: int = 128, most_lists: int = 4096, copies: int = 2, copy_ratio: float = 1.05, width: int = 1024, recall: float = 0.95, part_rows: int = 2000,
+    sample: int = 20_000, list_rows: int = 128, most_lists: int = 4096, copies: int = 2, copy_ratio: float = 1.05, width: int = 1024, recall: float = 0.95, bucket_rows: int = 8192,
 ) -> DataFrame:
     """For each row whose id is divisible by `every`, its k nearest other rows by Euclidean distance, ties to smaller ids.
 
@@ -141,8 +162,9 @@ def nearest_neighbours(
     at a boundary goes to as many as `copies` lists within `copy_ratio` of its nearest one. A query walks the graph of
     centroids and searches the lists within a ratio of the nearest one's distance, `width` at most; the ratio is that at which 200 rows
     of the sample find the share `recall` of their nearest in it. Equal vectors are indexed once, with
-    their k + 1 smallest ids: no more of them can be among a query's k. Long lists are cut into parts of about
-    `part_rows`. Queries that find fewer than k rows search all lists.
+    their k + 1 smallest ids: no more of them can be among a query's k. Lists that lie near each other are searched together,
+    in buckets of about `bucket_rows` rows, into which long lists are cut. Queries that find fewer than k rows search all
+    lists.
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids and vectors of any
     but the most frequent length. Of rows repeating an id with equal vectors one counts. Returns query_id, rank, vec_id
     and score. Empty tables give an empty one. Other columns are not read.
@@ -189,21 +211,23 @@ def nearest_neighbours(
 
     kind = unique.schema["v"].dataType.simpleString()
     postings = written(arrow_map(unique, assign, f"list int, v {kind}, ids array<bigint>"), "postings")
-    parts = {r["list"]: -(-r["count"] // part_rows) for r in postings.groupBy("list").count().collect()}  # most_lists rows
-    held = spark.createDataFrame(list(parts.items()), "list int, parts int")
-    cut = postings.join(F.broadcast(held), "list").select("list", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int").alias("part"), "v", "ids")
+    counts = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}  # most_lists rows
+    placed = buckets_of(index, counts, bucket_rows)
+    held, of_list = (spark.createDataFrame(placed, "list int, parts int, part int, bucket int") for _ in range(2))
+    mine = F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int") == F.col("part")
+    cut = postings.join(F.broadcast(held), "list").where(mine).select("bucket", "list", "v", "ids")
 
     def searched(wanted: DataFrame) -> DataFrame:
         """Rows (q, near): the k + 1 nearest distinct vectors in the lists of wanted (list, v, q)."""
-        each = wanted.join(F.broadcast(held), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "v", "q")
-        found = cut.groupBy("list", "part").cogroup(each.groupBy("list", "part")).applyInPandas(_top(k + 1), "q long, d double, first long, ids array<bigint>")
+        each = wanted.join(F.broadcast(of_list), "list").groupBy("bucket", "q").agg(F.first("v").alias("v"), F.collect_set("list").alias("lists"))
+        found = cut.groupBy("bucket").cogroup(each.groupBy("bucket")).applyInPandas(_top(k + 1), "q long, d double, first long, ids array<bigint>")
         return found.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "first", "ids"))), 1, k + 1).alias("near"))
 
     wanted = arrow_map(asked.select("v", "q"), select, f"list int, v {kind}, q long")
     found = written(searched(wanted), "found")
     enough = F.aggregate("near", F.lit(0), lambda n, x: n + F.size(x["ids"])) > k
     short = asked.join(found.where(enough).select("q"), "q", "left_anti")
-    every_list = short.crossJoin(F.broadcast(held.select("list"))).select("list", "v", "q")  # the lists, few, for queries, fewer
+    every_list = short.crossJoin(F.broadcast(held.select("list").distinct())).select("list", "v", "q")  # the lists, few, for queries, fewer
     found = found.where(enough).unionByName(searched(every_list))
     flat = F.flatten(F.transform("near", lambda x: F.transform(x["ids"], lambda i: F.struct(x["d"].alias("d"), i.alias("i")))))
     ranked = queries.join(asked, "v").join(found, "q").select(F.col("id").alias("query_id"), flat.alias("near"))
