@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import FORMATS, PRIVATE_VALUES, Options
+from .config import FORMATS, LABELS, PRIVATE_VALUES, WEIGHTS, Options
 from .functions.naming import clean_name, is_pk_name, strip_table_prefix
 from .operators.dictionary import build_dictionary, dictionary_frame, markdown
 from .operators.erd import erd_frames
@@ -296,10 +296,84 @@ SELECT from_table, to_table, "column", n_shared, n_distinct_from, n_distinct_to,
 FROM y WHERE n_distinct_from < n1 AND n_distinct_to < n2 AND m >= 3 AND n_shared / m::DOUBLE >= 0.3"""
 
 
+def _links_sql() -> str:
+    """All of candidate generation, signals, scores, veto and arbitration, with name signals as constants.
+
+    Self-references, lookup names and empty tables don't occur here; unique key-named columns that their table doesn't own
+    (one-to-one sources) are found by name. No NULL patterns.
+    """
+    from .functions.naming import is_key_name, name_signal, owns_key, target_preference
+
+    tables = list(TABLES)
+    cols = ", ".join(
+        f"({tables.index(t)}, '{t}', {[c for u, c, _ in COLUMNS if u == t].index(c)}, '{c}', '{k}', {str(is_key_name(clean_name(c))).lower()}, "
+        f"{str(is_key_name(clean_name(c)) and not owns_key(clean_name(c), strip_table_prefix(t))).lower()})"
+        for t, c, k in COLUMNS
+        if k != "-"
+    )
+    names = []
+    for t, c, k in COLUMNS:
+        for u, d, j in COLUMNS:
+            if t != u and k == j != "-":
+                s = name_signal(c, u, d)
+                own = owns_key(clean_name(c), strip_table_prefix(u))
+                if s or own or target_preference(clean_name(d), clean_name(c)):
+                    signal = f"'{s.signal}'" if s else "NULL"
+                    names.append(f"('{t}', '{c}', '{u}', '{d}', {signal}, {target_preference(clean_name(d), clean_name(c))}, {str(own).lower()})")
+    stats = _each(
+        lambda t, c, k: f"SELECT '{t}' AS t, '{c}' AS c, count(*) AS n, count(*) - count({c}) AS nn, " + (f"median(length({c}))" if k == "s" else "NULL") + f" AS len FROM {t}"
+    )
+    prints = _each(_fingerprint, "ns") + "".join(f"\nUNION ALL SELECT '{t}', '{c}', 'iso_ts'" for t, c, k in COLUMNS if k == "t")
+    weight = " ".join(f"WHEN '{s}' THEN {1 - w:.2f}::DOUBLE" for s, w in WEIGHTS.items())
+    label = " ".join(f"WHEN '{s}' THEN '{v}'" for s, v in LABELS.items())
+    left = lambda c: f"(CASE {c} {weight} ELSE 1.0::DOUBLE END)"
+    return f"""WITH {_compared()},
+cols(ti, t, ci, c, k, key_named, one) AS (VALUES {cols}),
+nm(t1, c1, t2, c2, sig, pref, own) AS (VALUES {', '.join(names)}),
+st AS ({stats}),
+fp AS ({prints}),
+p AS (SELECT cols.*, st.n, st.nn, coalesce(own.nd, 0) AS nd, st.len, fp.fingerprint AS f, coalesce(own.nd, 0) = st.n AND st.nn = 0 AS u
+ FROM cols JOIN st ON st.t = cols.t AND st.c = cols.c LEFT JOIN own ON own.t = cols.t AND own.c = cols.c LEFT JOIN fp ON fp."table" = cols.t AND fp."column" = cols.c),
+q AS (SELECT *, u AND k <> 't' AND coalesce(len, 0) <= 60 AS target FROM p),
+r AS (SELECT *, NOT target AND nd > 0 AND NOT (nd <= 2 AND n > 10 AND NOT key_named) AND coalesce(len, 0) <= 80 AS refers, target AND one AS single,
+ bool_or(target) OVER (PARTITION BY t) AS has_key FROM q),
+rk AS (SELECT t, row_number() OVER (ORDER BY max(n) DESC, t) AS place FROM p GROUP BY t),
+cand AS (SELECT a.t AS t1, a.c AS c1, a.single, a.k, b.t AS t2, b.c AS c2, b.ti AS ti2, b.ci AS ci2, a.nd AS nd1, b.nd AS nd2, a.f AS f1, b.f AS f2, ra.place AS p1, rb.place AS p2, nm.sig, coalesce(nm.pref, 0) AS pref,
+ coalesce(w.n_shared, 0) AS n_shared, coalesce(w.n_shared, 0) / a.nd::DOUBLE AS ov, coalesce(w.dot / sqrt(oa.sq * ob.sq), 0) AS cosine
+ FROM r a JOIN r b ON a.t <> b.t AND a.k = b.k AND (a.refers OR a.single) AND (CASE WHEN a.single THEN b.target AND b.c = a.c WHEN b.has_key THEN b.target ELSE b.refers END)
+ JOIN rk ra ON ra.t = a.t JOIN rk rb ON rb.t = b.t
+ JOIN own oa ON oa.t = a.t AND oa.c = a.c JOIN own ob ON ob.t = b.t AND ob.c = b.c
+ LEFT JOIN nm ON nm.t1 = a.t AND nm.c1 = a.c AND nm.t2 = b.t AND nm.c2 = b.c
+ LEFT JOIN two w ON w.t1 = a.t AND w.c1 = a.c AND w.t2 = b.t AND w.c2 = b.c
+ WHERE NOT a.single OR rb.place < ra.place OR coalesce(nm.own, false)),
+sig AS (SELECT *, CASE WHEN ov >= 0.98 THEN 'overlap_high' WHEN ov >= 0.8 THEN 'overlap_medium' END AS s_ov, CASE WHEN nd1 = nd2 AND n_shared = nd1 THEN 'cardinality_match' END AS s_card,
+ CASE WHEN f1 = f2 THEN 'format_match' END AS s_fmt, CASE WHEN cosine >= 0.9 THEN 'dist_high' WHEN cosine >= 0.75 THEN 'dist_med' END AS s_dist FROM cand),
+sc AS (SELECT *, round(1 - {left('sig')} * {left('s_ov')} * {left('s_card')} * {left('s_fmt')} * {left('s_dist')} + 1e-12, 3) AS raw,
+ coalesce(sig IN ('naming_exact', 'naming_role', 'naming_self'), false) AS strong FROM sig WHERE coalesce(sig, s_ov, s_card, s_fmt, s_dist) IS NOT NULL),
+tr AS (SELECT *, CASE WHEN raw >= 0.55 AND ov < 0.5 AND NOT strong THEN 0.54 ELSE raw END AS score FROM sc),
+best AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY t1, c1, t2 ORDER BY score DESC, pref DESC, ci2) = 1),
+par AS (SELECT * FROM best QUALIFY NOT single OR row_number() OVER (PARTITION BY t1, c1 ORDER BY score DESC, p2) = 1),
+lab AS (SELECT *, CASE (SELECT x FROM (VALUES (sig, 1), (s_ov, 2), (s_card, 3), (s_fmt, 4), (s_dist, 5)) v(x, o) WHERE x IS NOT NULL ORDER BY CASE x {weight} END, o LIMIT 1) {label} END AS detected_by,
+ coalesce(s_card IS NOT NULL OR s_ov = 'overlap_high', false) AS fits, coalesce(sig IN ('name_identical', 'name_sim'), false) AS closes FROM par),
+grp AS (SELECT *, count(*) OVER g AS size, bool_or(strong) OVER g AS any_strong, count(*) FILTER (WHERE fits) OVER g AS n_fits, count(*) FILTER (WHERE fits AND closes) OVER g AS n_close,
+ string_agg(CASE WHEN strong THEN t2 END, ', ') OVER g AS strong_names, min(CASE WHEN fits AND closes THEN t2 END) OVER g AS close_name,
+ list_aggregate(list_sort(list(CASE WHEN fits THEN t2 END) FILTER (WHERE fits) OVER g)[1:6], 'string_agg', ', ') AS fit_names
+ FROM lab WINDOW g AS (PARTITION BY t1, c1)),
+dem AS (SELECT *, CASE WHEN size < 2 THEN NULL WHEN any_strong THEN CASE WHEN NOT strong THEN 'name points to ' || strong_names END
+ WHEN n_fits >= 2 AND fits AND n_close = 1 AND NOT closes THEN 'name is closest to ' || close_name
+ WHEN n_fits >= 2 AND fits AND n_close <> 1 THEN 'ambiguous: values fit ' || n_fits || ' tables (' || fit_names || ')' END AS demoted FROM grp),
+fin AS (SELECT *, max(CASE WHEN demoted IS NULL THEN score END) OVER (PARTITION BY t1, c1) AS top FROM dem)
+SELECT t1 AS from_table, c1 AS from_col, t2 AS to_table, c2 AS to_col, detected_by,
+CASE WHEN demoted IS NOT NULL THEN 'low' WHEN score >= 0.85 THEN 'high' WHEN score >= 0.55 THEN 'medium' ELSE 'low' END AS confidence,
+round(CASE WHEN demoted IS NOT NULL THEN least(score, 0.54) * 0.9 + 1e-12 ELSE score END, 3) AS score, score AS base_score, demoted
+FROM fin WHERE demoted IS NOT NULL OR score >= top - 0.05"""
+
+
 NAMED_KEYS = ", ".join(f"('{t}', '{c}')" for t, c, _ in COLUMNS if is_pk_name(clean_name(c), strip_table_prefix(t)))
 N_COLUMNS = len(COLUMNS)
 
 ORACLE = {
+    "fk_links": _links_sql(),
     "column_profile": _each(
         lambda t, c, k: f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_null, CAST(0 AS BIGINT) AS n_distinct, false AS is_unique, 0.0::DOUBLE AS count_norm FROM {t}"
         if k == "-"
