@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -103,11 +104,21 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
         width, power = 2 * width, power * power % (1 << 64)
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers of a local Spark import this package from where it is; on a cluster, --py-files does that."""
+    if spark.sparkContext.master.startswith("local["):
+        path = spark.sparkContext.environment.get("PYTHONPATH", "")
+        root = str(Path(__file__).resolve().parents[2])
+        if root not in path.split(":"):
+            spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{path}".rstrip(":")
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], schema: str | StructType) -> DataFrame:
     """mapInArrow where make() builds the per-task function; that takes a batch and yields dicts of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    ship(df.sparkSession)
     kind = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +140,7 @@ def arrow_add(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    ship(df.sparkSession)
     fields = _parse_datatype_string(new).fields
     more = to_arrow_schema(StructType(fields))
 
