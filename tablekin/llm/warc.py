@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, new_path
+from ._common import arrow_map, new_path, written
 
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -127,6 +127,7 @@ def page_archives(pages: DataFrame, least: int = 1000, id_col: str = "page_id",
     found = read_archives(spark, path)
     ident = lambda c: F.expr(f"try_cast(regexp_extract({c}, '{ID}([-0-9]+)>', 1) AS bigint)")
     found = found.select(ident("record_id").alias("id"), F.regexp_replace("digest", "^sha1:", "").alias("payload_digest"), "record_type", ident("refers_to").alias("refers_to"), "size", "sha1", "target_uri")
+    found = written(found, "headers")
     kept = found.where("record_type = 'response'").groupBy(F.col("sha1").alias("payload_digest")).agg(F.max("size").alias("_size"))
     out = found.where("record_type = 'revisit'").join(kept, "payload_digest", "left").withColumn("size", F.col("_size")).drop("_size").unionByName(found.where("record_type = 'response'"))
     return out.select(F.col("id").alias(id_col), F.col("size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "target_uri")
