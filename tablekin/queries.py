@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from .config import FORMATS, LABELS, PRIVATE_VALUES, WEIGHTS, Options
 from .functions.naming import clean_name, is_pk_name, strip_table_prefix
 from .operators.dictionary import build_dictionary, dictionary_frame, markdown
-from .operators.erd import erd_frames
+from .operators.erd import erd_frames, erd_model
 from .operators.keys import detect_keys
 from .operators.links import links_frame
 from .operators.order_stats import example_values, numeric_ranges
 from .operators.privacy import review_queue
 from .operators.profile import column_stats, comparison_frame, null_pattern, profile_frame, scan
-from .operators.review import scan_estimate
+from .operators.review import declared_link, scan_estimate
 from .operators.shared import shared_columns
 from .plans.discovery import Discovery, discover
 from .sinks.diagrams import dbml, elk_json, mermaid, network_frames
@@ -141,6 +141,35 @@ def fk_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("from_table", "from_col", "to_table", "to_col", F.explode("signals").alias("signal", "strength"))
 
 
+def self_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of nations below regions' numbers, told from its column names and values."""
+    nation = load(spark, sf_dir)["nation"]
+    tree = nation.select(F.col("n_nationkey").alias("category_id"), F.col("n_name").alias("title"), F.col("n_regionkey").alias("parent_category_id"))
+    links = discover({"categories": tree, "regions": load(spark, sf_dir)["region"]}, composites=False).detected
+    own = [k for k in links if k.from_table == k.to_table]
+    return links_frame(spark, own).select("from_table", "from_col", "to_table", "to_col", "detected_by", "confidence", "score")
+
+
+# What a schema would declare of the test tables.
+DECLARED = [
+    ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"),
+    ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id"),
+]
+
+
+def declared_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cardinality of declared links, and how much of each child's values its parent holds."""
+    tables = load(spark, sf_dir)
+    known = scan(tables)
+    model = erd_model(known, [declared_link(*k) for k in DECLARED], detect_keys(tables, known, composites=False))
+    rows = []
+    for k in model.links:
+        a, b = (k.link.from_table, k.link.from_col), (k.link.to_table, k.to_col)
+        rows.append((*a, *b, k.child_max, k.parent_min, k.identifying, k.provenance, round(known.overlap(a, b), 6)))
+    return spark.createDataFrame(rows, "from_table string, from_col string, to_table string, to_col string, child_max string, parent_min string, identifying boolean, provenance string, overlap double")
+
+
 def scan_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = load(spark, sf_dir)
     rows = {r["table"]: r.n_rows for r in signatures({t: df.select(df.columns[0]) for t, df in tables.items()}).collect()}
@@ -204,6 +233,8 @@ QUERIES = {
     "null_patterns": null_patterns,
     "fk_links": fk_links,
     "fk_evidence": fk_evidence,
+    "self_references": self_references,
+    "declared_model": declared_model,
     "scan_complexity": scan_complexity,
     "table_signatures": table_signatures,
     "table_details": details,
@@ -393,6 +424,15 @@ named(t, c) AS (VALUES {NAMED_KEYS})
 SELECT p.t AS "table", p.c AS "column", named.t IS NOT NULL AS named, u AS is_unique FROM p LEFT JOIN named ON p.t = named.t AND p.c = named.c WHERE u OR named.t IS NOT NULL""",
     "shared_columns": _shared_sql(),
     "null_patterns": """SELECT round(corr(CASE WHEN o_custkey % 7 > 0 THEN 0.0 ELSE 1.0 END, CASE WHEN o_custkey % 7 > 0 AND o_orderkey % 5 > 0 THEN 0.0 ELSE 1.0 END), 6) AS r FROM orders""",
+    "self_references": """SELECT 'categories' AS from_table, 'parent_category_id' AS from_col, 'categories' AS to_table, 'category_id' AS to_col, 'naming' AS detected_by, 'high' AS confidence, 0.9::DOUBLE AS score
+FROM nation HAVING avg(CASE WHEN n_regionkey IN (SELECT n_nationkey FROM nation) THEN 1.0 ELSE 0 END) >= 0.8""",
+    "declared_model": "\nUNION ALL ".join(
+        f"""SELECT '{a}' AS from_table, '{b}' AS from_col, '{c}' AS to_table, '{d}' AS to_col,
+CASE WHEN count(DISTINCT {b}) = count(*) THEN 'one' ELSE 'many' END AS child_max, CASE WHEN count({b}) < count(*) THEN 'zero' ELSE 'one' END AS parent_min,
+count(DISTINCT {b}) = count(*) AS identifying, 'declared' AS provenance,
+round((SELECT count(*) FROM (SELECT {b} FROM {a} INTERSECT SELECT {d} FROM {c})) / count(DISTINCT {b})::DOUBLE, 6) AS overlap FROM {a}"""
+        for a, b, c, d in DECLARED
+    ),
     "scan_complexity": f"""WITH n AS ({' UNION ALL '.join(f'SELECT count(*) AS r FROM {t}' for t in TABLES)}),
 s AS (SELECT count(*) AS n_tables, {N_COLUMNS} AS total_cols, sum(r)::BIGINT AS total_rows, max(r) AS max_rows FROM n),
 e AS (SELECT *, 0.4::DOUBLE * total_cols * (n_tables - 1) * greatest(0.15::DOUBLE * total_cols / n_tables, 1) AS p FROM s),

@@ -38,11 +38,12 @@ class TableSet(Mapping):
         found = spark.catalog.listTables(database) if database else spark.catalog.listTables()
         return cls({t.name: spark.table(f"{database}.{t.name}" if database and not t.isTemporary else t.name) for t in found})
 
-    def add(self, name: str, df: DataFrame, on_conflict: str = "overwrite", source: str = "", clean: bool = True) -> str | None:
+    def add(self, name: str, df: DataFrame, on_conflict: str = "overwrite", source: str = "", clean: bool = True, skip_equal: bool = False) -> str | None:
         """Add a table under its clean name, with clean column names; changes of names are logged.
 
         If the name is taken: overwrite replaces, keep_both adds _2, _3, ..., skip leaves the present table. Returns the
-        name in use, or None if skipped.
+        name in use, or None if skipped. With skip_equal, a table with the content of the present one is skipped
+        whatever the policy.
         """
         if on_conflict not in ("overwrite", "keep_both", "skip"):
             raise ValueError(f"unknown conflict policy {on_conflict!r}")
@@ -54,7 +55,7 @@ class TableSet(Mapping):
                 self.renames.append(("table", source or name, name, new))
             self.renames += [("column", source or name, a, b) for a, b in zip(df.columns, cols, strict=True) if a != b]
             df = df.toDF(*cols)
-        if new in self.tables and on_conflict == "skip":
+        if new in self.tables and (on_conflict == "skip" or (skip_equal and signature(df).first() == signature(self.tables[new]).first())):
             return None
         if new in self.tables and on_conflict == "keep_both":
             new = next(f"{new}_{k}" for k in range(2, len(self) + 3) if f"{new}_{k}" not in self.tables)
@@ -64,6 +65,10 @@ class TableSet(Mapping):
     def remove(self, name: str) -> None:
         self.tables.pop(name, None)
 
+    def with_rows(self) -> TableSet:
+        """The tables that have rows."""
+        return TableSet({n: df for n, df in self.items() if not df.isEmpty()}, self.renames)
+
     def rename_log(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.renames, "object_type string, source string, original_name string, cleaned_name string")
 

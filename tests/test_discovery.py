@@ -313,6 +313,8 @@ def test_table_sets(spark):
     assert ts.add("My Table", df) == "my_table" and ts["my_table"].columns == ["some_id"]
     assert ts.add("my_table", df, "keep_both") == "my_table_2" and ts.add("my_table", df, "skip") is None
     assert {tuple(r) for r in ts.rename_log(spark).collect()} == {("table", "My Table", "My Table", "my_table"), ("column", "My Table", "Some ID", "some_id"), ("column", "my_table", "Some ID", "some_id")}
+    assert ts.add("my_table", df, skip_equal=True) is None and ts.add("my_table", df.limit(1), skip_equal=True) == "my_table"
+    assert list(TableSet({"a": df, "b": df.limit(0)}).with_rows()) == ["a"]
     wide = TableSet({"w": spark.range(1).selectExpr("id as a", "id as b", "id as c", "id as x_id")})
     assert wide.narrowed(2)["w"].columns == ["a", "x_id"]
 
