@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ from ..config import FORMAT_SHARE, FORMATS, PRIVATE_SHARE, PRIVATE_VALUES
 
 STATS = (
     "table string, column string, position int, spark_type string, kind string, n_rows bigint, n_null bigint, "
-    "whole boolean, lo double, hi double, len_min int, len_median double, len_max int, fingerprint string, private string"
+    "whole boolean, lo double, hi double, len_min int, len_max int, fingerprint string, private string"
 )
 
 
@@ -36,6 +36,10 @@ def kind_of(dtype: T.DataType) -> str | None:
 # Expressions are put together as SQL text: building them call by call costs more than running them on small tables.
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def sql_col(field: T.StructField) -> str:
     """The column with NaN as null."""
     c = "`" + field.name.replace("`", "``") + "`"
@@ -90,9 +94,8 @@ def private_values(field: T.StructField) -> str:
 
 
 def column_stats(name: str, df: DataFrame) -> DataFrame:
-    """A row (STATS) for each column of a table, from one aggregate without distinct counts."""
+    """A row (STATS) for each column of a table, from one aggregate of counts, least and greatest values; all in generated code."""
     aggs, rows = ["count(*) AS n"], []
-    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     for i, f in enumerate(df.schema):
         c, kind = sql_col(f), kind_of(f.dataType)
         number = f"cast({c} AS double)" if kind == "numeric" else "cast(null AS double)"
@@ -104,18 +107,33 @@ def column_stats(name: str, df: DataFrame) -> DataFrame:
             "lo": f"min({number})",
             "hi": f"max({number})",
             "len_min": f"min({size})",
-            "len_median": f"percentile({size}, 0.5)" if isinstance(f.dataType, T.StringType) else "cast(null AS double)",
             "len_max": f"max({size})",
             "fingerprint": fingerprint(f) if kind else "cast(null AS string)",
             "private": private_values(f) if words else "cast(null AS string)",
         }
         aggs.append(f"named_struct({', '.join(f"'{k}', {v}" for k, v in parts.items())}) AS c{i}")
-        head = f"'table', {quoted(name)}, 'column', {quoted(f.name)}, 'position', {i}, 'spark_type', {quoted(f.dataType.simpleString())}, 'kind', {quoted(kind) if kind else 'cast(null AS string)'}"
+        head = f"'table', {_quoted(name)}, 'column', {_quoted(f.name)}, 'position', {i}, 'spark_type', {_quoted(f.dataType.simpleString())}, 'kind', {_quoted(kind) if kind else 'cast(null AS string)'}"
         tail = ", ".join(f"'{k}', c{i}.{k}" for k in parts if k != "n_some")
         rows.append(f"named_struct({head}, 'n_rows', n, 'n_null', n - c{i}.n_some, {tail})")
     return df.selectExpr(*aggs).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
+def length_medians(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table, column, len_median) of text columns with values, from counts of their lengths."""
+    parts = []
+    for t, df in tables.items():
+        rows = [f"named_struct('table', {_quoted(t)}, 'column', {_quoted(f.name)}, 'len', length({sql_col(f)}))" for f in df.schema if isinstance(f.dataType, T.StringType)]
+        if rows:
+            parts.append(df.selectExpr(f"inline(array({', '.join(rows)}))").where("len IS NOT NULL"))
+    if not parts:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], "table string, column string, len_median double")
+    counts = _union(parts).groupBy("table", "column", "len").agg(F.count("*").alias("n"))
+    one = Window.partitionBy("table", "column")
+    run = counts.withColumns({"upto": F.sum("n").over(one.orderBy("len")), "all": F.sum("n").over(one)})
+    at = lambda k: F.max(F.expr(f"CASE WHEN upto > {k} AND upto - n <= {k} THEN len END"))
+    return run.groupBy("table", "column").agg(((at("(`all` - 1) div 2") + at("`all` div 2")) / 2).alias("len_median"))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -185,10 +203,10 @@ class Profile:
     lo: float | None
     hi: float | None
     len_min: int | None
-    len_median: float | None
     len_max: int | None
     fingerprint: str | None
     private: str | None
+    len_median: float | None = None
     n_distinct: int = 0
     square: float = 0.0
     content: str | None = None
@@ -255,6 +273,8 @@ def scan(tables: Mapping[str, DataFrame], content: bool = True, keep: Scan | Non
     if stats := [column_stats(t, df) for t, df in again.items() if df.columns]:
         for r in _union(stats).collect():
             profiles[r["table"], r["column"]] = Profile(**r.asDict())
+        for r in length_medians(again).collect():
+            profiles[r["table"], r["column"]].len_median = r["len_median"]
     out = Scan(profiles, {}, {t: df.columns for t, df in tables.items()})
     names = columns_of(tables)
     if names:

@@ -13,7 +13,7 @@ from .operators.keys import detect_keys
 from .operators.links import links_frame
 from .operators.order_stats import example_values, numeric_ranges
 from .operators.privacy import review_queue
-from .operators.profile import column_stats, comparison_frame, null_pattern, profile_frame, scan
+from .operators.profile import column_stats, comparison_frame, length_medians, null_pattern, profile_frame, scan
 from .operators.review import declared_link, scan_estimate
 from .operators.shared import shared_columns
 from .plans.discovery import Discovery, discover
@@ -46,7 +46,7 @@ def load(spark: SparkSession, sf_dir: str) -> TableSet:
 
 
 def _known(spark: SparkSession, sf_dir: str) -> Discovery:
-    return discover(load(spark, sf_dir))
+    return discover(load(spark, sf_dir), track=False)
 
 
 # ---------------------------------------------------------------- queries
@@ -58,11 +58,13 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = [column_stats(t, df) for t, df in load(spark, sf_dir).items()]
+    tables = load(spark, sf_dir)
+    stats = [column_stats(t, df) for t, df in tables.items()]
     out = stats[0]
     for s in stats[1:]:
         out = out.unionByName(s)
-    return out.where("len_min IS NOT NULL").select("table", "column", F.col("len_min").cast("long"), "len_median", F.col("len_max").cast("long"))
+    out = out.join(length_medians(tables), ["table", "column"])
+    return out.select("table", "column", F.col("len_min").cast("long"), "len_median", F.col("len_max").cast("long"))
 
 
 def format_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +132,7 @@ def null_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all confidences with rivals resolved."""
-    known = discover(load(spark, sf_dir), Options(min_confidence="low"), composites=False)
+    known = discover(load(spark, sf_dir), Options(min_confidence="low"), composites=False, track=False)
     out = links_frame(spark, known.detected)
     return out.select("from_table", "from_col", "to_table", "to_col", "detected_by", "confidence", F.round("score", 3).alias("score"), F.round("base_score", 3).alias("base_score"), "demoted")
 
@@ -186,7 +188,7 @@ def _frame_of(name: str):
 
 
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = discover(load(spark, sf_dir), composites=False)
+    known = discover(load(spark, sf_dir), composites=False, track=False)
     return spark.createDataFrame(
         [tuple(r) for r in table_details(known.scan, known.links(), known.keys)],
         "table string, table_rows bigint, table_cols bigint, column string, type string, non_null bigint, unique_vals bigint, is_pk boolean, is_fk boolean",
