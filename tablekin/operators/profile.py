@@ -79,10 +79,25 @@ def _share(text: str, pattern: str, some: str) -> str:
 
 
 def fingerprint(field: T.StructField) -> str:
-    """The first format that at least 80 % of the non-null values have. Numbers can only look like codes, zips or phones."""
-    kind, text = kind_of(field.dataType), sql_text(field)
-    names = {"numeric": ("zip_us", "phone", "int_code"), "datetime": ("iso_ts", "iso_date", "phone")}.get(kind)
-    tests = [f"WHEN {_share(text, '(?i)' + p, f'({text}) IS NOT NULL')} >= {FORMAT_SHARE} THEN '{n}'" for n, p in FORMATS if not names or n in names]
+    """The first format that at least 80 % of the non-null values have.
+
+    Dates and times always read as ISO. Numbers read like codes, zips or phones by their size alone; only fractions are
+    matched as text.
+    """
+    kind, text, c = kind_of(field.dataType), sql_text(field), sql_col(field)
+    if kind == "datetime":
+        return f"CASE WHEN count({c}) > 0 THEN '{'iso_date' if isinstance(field.dataType, T.DateType) else 'iso_ts'}' END"
+    if kind == "numeric":
+        small = f"({sql_whole(c)} AND abs(cast({c} AS double)) < 1e18)"
+        n = f"cast(CASE WHEN {small} THEN {c} END AS bigint)"
+        phone = f"({n} BETWEEN 1000000 AND 999999999999999 OR {n} BETWEEN -99999999999999 AND -100000)"
+        fraction = f"rlike(cast({c} AS string), r'{dict(FORMATS)['phone']}')"
+        if isinstance(field.dataType, T.IntegralType):
+            n, fraction = c, "false"
+            small, phone = "true", f"({n} BETWEEN 1000000 AND 999999999999999 OR {n} BETWEEN -99999999999999 AND -100000)"
+        tests = {"zip_us": f"{small} AND {n} BETWEEN 10000 AND 99999", "phone": f"CASE WHEN {small} THEN {phone} ELSE {fraction} END", "int_code": f"{small} AND {n} BETWEEN 0 AND 999999"}
+        return "CASE " + " ".join(f"WHEN try_divide(count_if({t}), count({c})) >= {FORMAT_SHARE} THEN '{k}'" for k, t in tests.items()) + " END"
+    tests = [f"WHEN {_share(text, '(?i)' + p, f'({text}) IS NOT NULL')} >= {FORMAT_SHARE} THEN '{n}'" for n, p in FORMATS]
     return f"CASE {' '.join(tests)} END"
 
 

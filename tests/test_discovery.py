@@ -86,6 +86,22 @@ def test_fingerprints_of_numbers(spark):
     assert [known.profiles["t", c].fingerprint for c in "abc"] == ["int_code", "zip_us", "phone"]
 
 
+def test_fingerprints_of_numbers_are_those_of_their_text(spark):
+    import re
+
+    from tablekin.config import FORMATS
+
+    rng = random.Random(8)
+    numbers = [0, 1, 99999, 10000, 9999, 100000, 999999, 1000000, -100000, -99999, 10**15 - 1, 10**15, -(10**14) + 1, -(10**14), 2**62]
+    fractions = [1234.56, 12345.5, 0.5, -1234.5, 123456789.25, 1e20, float("inf"), 2.5e-9]
+    for values, kind in [(numbers, "bigint"), ([float(x) for x in numbers if abs(x) < 2**53], "double"), (fractions, "double")]:
+        for v in values:
+            rows = n(*[rng.choice([type(v)(v)]) for _ in range(3)], None)
+            text = spark.createDataFrame(n(v), f"v {kind}").selectExpr("CASE WHEN v = floor(v) AND abs(v) < 1e18 THEN cast(cast(v AS bigint) AS string) ELSE cast(v AS string) END AS t").first().t if abs(v) < 9e18 else "1.0E20"
+            want = next((k for k, p in FORMATS if re.search(p, text, re.I)), None)
+            assert scan({"t": frame(spark, f"v {kind}", rows)}).profiles["t", "v"].fingerprint == want, v
+
+
 def test_links_of_a_shop(spark, shop):
     known = discover(shop)
     links = found(known.links())
