@@ -40,10 +40,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{place}/t"
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """df in four partitions a core at most: where there are many more, each would be a small file."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and no executor's loss undoes it."""
     spark = df.sparkSession
-    df.write.parquet(place := new_path(spark, name))
+    few_files(df).write.parquet(place := new_path(spark, name))
     return spark.read.schema(df.schema).parquet(place)
 
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, new_path, written
+from ._common import arrow_map, few_files, new_path, written
 
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -62,7 +62,7 @@ def write_archives(records: DataFrame, path: str, date: str = "2000-01-01T00:00:
         F.lit("\r\n"),
     )
     lines = records.select(F.concat(head, block, F.lit("\r\n")).alias("value"))
-    lines.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
+    few_files(lines).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
 
 
 def parse_archive(stream) -> Iterator[tuple[dict[str, str], bytes]]:
