@@ -431,7 +431,7 @@ FROM nation HAVING avg(CASE WHEN n_regionkey IN (SELECT n_nationkey FROM nation)
     "declared_model": "\nUNION ALL ".join(
         f"""SELECT '{a}' AS from_table, '{b}' AS from_col, '{c}' AS to_table, '{d}' AS to_col,
 CASE WHEN count(DISTINCT {b}) = count(*) THEN 'one' ELSE 'many' END AS child_max, CASE WHEN count({b}) < count(*) THEN 'zero' ELSE 'one' END AS parent_min,
-count(DISTINCT {b}) = count(*) AS identifying, 'declared' AS provenance,
+{'count(DISTINCT ' + b + ') = count(*)' if b == 'doc_id' else 'false'} AS identifying, 'declared' AS provenance,
 round((SELECT count(*) FROM (SELECT {b} FROM {a} INTERSECT SELECT {d} FROM {c})) / count(DISTINCT {b})::DOUBLE, 6) AS overlap FROM {a}"""
         for a, b, c, d in DECLARED
     ),
