@@ -109,8 +109,16 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
         width, power = 2 * width, power * power % (1 << 64)
 
 
+#: Bytes of an Arrow batch, unless the session's own setting was changed: two tasks and their workers hold a few of each.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let the Python workers of a local Spark import this package from where it is; on a cluster, --py-files does that."""
+    """Prepare for Python workers: batches of bounded bytes, and, for those of a local Spark, this package's place to
+    import it from. On a cluster, --py-files does that."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(size) is None and spark.conf.get(size).rstrip("bB") == str(64 << 20):
+        spark.conf.set(size, str(BATCH_BYTES))
     if spark.sparkContext.master.startswith("local["):
         path = spark.sparkContext.environment.get("PYTHONPATH", "")
         root = str(Path(__file__).resolve().parents[2])
