@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -40,16 +42,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{place}/t"
 
 
+#: Bytes of input for each file of a written table, where these make more files than four a core.
+FILE_BYTES = 32 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The bytes of all tables that df reads, as their sources state them."""
+    leaves, total = df._jdf.queryExecution().analyzed().collectLeaves().iterator(), 0
+    while leaves.hasNext():
+        total += int(leaves.next().stats().sizeInBytes())
+    return total
+
+
 def few_files(df: DataFrame) -> DataFrame:
-    """df in four partitions a core at most: where there are many more, each would be a small file."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    """df in a partition for FILE_BYTES of its input, or four a core if these are more. Fewer partitions stay as they are.
+
+    Partitions so grow with the data, and a small table dealt over hundreds of partitions doesn't become as many files.
+    """
+    return df.coalesce(int(min(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(df) // FILE_BYTES)), (1 << 31) - 1)))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and no executor's loss undoes it."""
     spark = df.sparkSession
     few_files(df).write.parquet(place := new_path(spark, name))
-    return spark.read.schema(df.schema).parquet(place)
+    out = spark.read.schema(df.schema).parquet(place)
+    out._place = place
+    return out
+
+
+def forget(*tables: DataFrame | str) -> None:
+    """Delete written() tables, or folders of new_path(), whose readers are done: for what is derived from them, only
+    other written tables are read."""
+    spark = SparkSession.active()
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t._place).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,6 +154,13 @@ def ship(spark: SparkSession) -> None:
             spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{path}".rstrip(":")
 
 
+def release() -> None:
+    """Give memory that is free back to the system. Python workers outlive their tasks, and an executor's tasks share it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], schema: str | StructType) -> DataFrame:
     """mapInArrow where make() builds the per-task function; that takes a batch and yields dicts of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -135,11 +170,13 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     kind = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = None
+        one = batch = cols = None
         for batch in batches:
             one = one or make()
             for cols in one(batch):
                 yield pa.RecordBatch.from_arrays([_as_array(cols[f.name], f.type) for f in kind], schema=kind)
+        del one, batch, cols
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -158,11 +195,13 @@ def arrow_add(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
     more = to_arrow_schema(StructType(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = None
+        one = batch = cols = None
         for batch in batches:
             one = one or make()
             cols = one(batch)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[_as_array(cols[f.name], f.type) for f in more]], names=[*batch.schema.names, *more.names])
+        del one, batch, cols
+        release()
 
     return df.mapInArrow(run, StructType([*df.schema.fields, *fields]))
 
