@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, slices, words_of, written
+from ._common import arrow_map, release, slices, words_of, written
 
 PIECES_A_BIN = 50_000
 
@@ -108,15 +111,51 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return window, offset
 
 
+def parts_words(spec: dict) -> bool:
+    """Whether a tokenizer (the content of its file) takes every word by itself, whatever stands beside it, and lowers
+    letters: white space is made one space at most and dropped, no normalizer or added token reaches over it, and the
+    model is a plain one of merges. Such a text's ids are its words' ids, which is what WordIds relies on."""
+    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    kinds = [x.get("type") for x in norm.get("normalizers", [norm])]
+    cuts = pre.get("pretokenizers", [pre])
+    split = cuts[0] if cuts else {}
+    pattern = (split.get("pattern") or {}).get("Regex", "")
+    return (
+        kinds == ["NFC", "Replace", "Lowercase"] and norm["normalizers"][1].get("pattern") == {"Regex": "\\s+"} and norm["normalizers"][1].get("content") == " "
+        and [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and split.get("invert") is True and split.get("behavior") == "Removed"
+        and pattern == SPLIT and not cuts[1].get("use_regex") and not cuts[1].get("add_prefix_space")
+        and spec.get("post_processor") is None and spec["model"].get("type") == "BPE" and spec["model"].get("dropout") is None
+        and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or not t["content"].startswith("<|") for t in spec.get("added_tokens", []))
+    )
+
+
+#: Fixed value: the word rule of the one kind of tokenizer that WordIds may serve.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _ids_of(path: str):
+    """A function from texts to the library's ids as bytes: word by word where that is proven to be the same, else whole."""
+    if parts_words(json.loads(Path(path).read_text())):
+        one = word_ids(path).__getitem__
+        return lambda text: b"".join(map(one, words_of(text)))
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return lambda text: array("I", tokenizer.encode(text or "", add_special_tokens=False).ids).tobytes()
+
+
 def _pieces(path: str, end_id: int, capacity: int):
     def make():
-        cache, end = word_ids(path), np.array([end_id], "<u4").tobytes()
+        ids_of, end = _ids_of(path), np.array([end_id], "<u4").tobytes()
 
         def one(batch):
             for part in slices(batch, "_text"):
                 out = {c: [] for c in ("_id", "start", "length", "ids_crc32", "doc_tokens")}
                 for ident, text in zip(part.column("_id").to_pylist(), part.column("_text").to_pylist(), strict=True):
-                    ids = b"".join([*map(cache.__getitem__, words_of(text)), end])
+                    ids = ids_of(text) + end
                     total = len(ids) // 4
                     for start in range(0, total, capacity):
                         piece = memoryview(ids)[4 * start : 4 * (start + capacity)]
@@ -143,6 +182,8 @@ def _pack(capacity: int):
         rows["offset"] = offset
         rows["sequence_tokens"] = fill[window]
         yield rows
+        del parts, rows, window, offset, fill
+        release()
 
     return run
 
@@ -156,13 +197,14 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     badly filled, so padding falls with the bins' size, and no task holds more than a bin.
     Returns `id_col`, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens (ids in the sequence)
     and padded_length (`capacity`, or sequence_tokens where that is a power of two). Null or empty texts have the end
-    id alone. Repeated rows are packed each. An empty table gives an empty one. Other columns are not read.
+    id alone. Repeated rows are packed each, and dealt to bins in turn like all others, so that none fills up with them.
+    An empty table gives an empty one. Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     spec = f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = written(arrow_map(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), _pieces(tokenizer, end_id, capacity), spec), "pieces")
     bins = max(1, -(-pieces.count() // PIECES_A_BIN))
-    spread = pieces.repartition(bins, F.xxhash64("_id", "start", "ids_crc32")).sortWithinPartitions("length", "ids_crc32", "_id", "start")
+    spread = pieces.repartition(bins).sortWithinPartitions("length", "ids_crc32", "_id", "start")  # in turn, each partition in its own order
     packed = spread.mapInPandas(_pack(capacity), spec + ", sequence_id long, offset long, sequence_tokens long")
     filled = F.col("sequence_tokens")
     power = filled.bitwiseAND(filled - 1) == 0
