@@ -100,8 +100,11 @@ CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FRO
 """,
     "op9_mixing": r"""
 WITH d AS (SELECT doc_id, text, coalesce('a' || source, 'b') AS s, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
-k AS (SELECT doc_id, s, size, -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
- / CASE WHEN size > 0 AND CAST(length(text) AS DOUBLE) / size BETWEEN 4 AND 12 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS key FROM d),
+q AS (SELECT *, greatest(size, 1)::DOUBLE AS nw, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::DOUBLE AS chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::DOUBLE AS symbols,
+ list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, len(list_distinct(regexp_extract_all(t, '[^\x20\x09-\x0D]+')))::DOUBLE AS words FROM (SELECT *, coalesce(text, '') AS t FROM d)),
+f AS (SELECT doc_id, s, size, t, greatest(0.05::DOUBLE, greatest(0, least(1, (chars / nw - 1::DOUBLE) / 2::DOUBLE))::DOUBLE * (1::DOUBLE - greatest(0, least(1, (chars / nw - 10::DOUBLE) / 6::DOUBLE))::DOUBLE)
+ * (1::DOUBLE - greatest(0, least(1, symbols / nw))::DOUBLE) * (len(list_distinct(lines))::DOUBLE / greatest(len(lines), 1)::DOUBLE) * greatest(0, least(1, (words / least(nw, 100::DOUBLE)) / 0.5::DOUBLE))::DOUBLE) AS weight FROM q),
+k AS (SELECT doc_id, s, size, -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(t)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / weight AS key FROM f),
 g AS (SELECT s, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY s) - 1) % 3 + 1 AS BIGINT)]::DOUBLE AS w FROM d GROUP BY s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(2.0::DOUBLE * sum(source_size) OVER up, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER up, 0)) AS lv
  FROM g WINDOW up AS (ORDER BY source_size / w, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
