@@ -103,13 +103,18 @@ class IsolationForest:
 
 
 class QualityModel:
-    """An isolation forest of good rows, the threshold above which a row is rejected, and what it was calibrated on."""
+    """An isolation forest of good rows, and the threshold above which a row is rejected. The threshold is calibrated on
+    rows that the forest was not grown from (`held`), if these hold good and bad ones, else on all."""
 
-    def __init__(self, stats: np.ndarray, good: np.ndarray, lost: float, seed: int = 0):
+    def __init__(self, stats: np.ndarray, good: np.ndarray, held: np.ndarray, lost: float, seed: int = 0):
         x = features(stats)
-        fit = x[good] if good.any() else x
-        self.forest = IsolationForest(fit, seed=seed, bounds=(x.min(0), x.max(0)))
-        score = self.forest.score(x)
+        if not (good[held].any() and (~good)[held].any() and good[~held].any()):
+            held, grown = np.ones(len(x), bool), np.ones(len(x), bool)
+        else:
+            grown = ~held
+        fit = x[grown & good] if good.any() else x
+        self.forest = IsolationForest(fit, seed=seed, bounds=(x[grown].min(0), x[grown].max(0)))
+        score, good = self.forest.score(x[held]), good[held]
         best, at = -1.0, np.inf
         if good.any() and not good.all():
             for limit in np.unique(score):  # most bad rows above it, with no more than the share `lost` of good ones
@@ -119,25 +124,27 @@ class QualityModel:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, rows: int = 3000, lost: float = 0.01, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 0) -> QualityModel | None:
-    """Fit and calibrate on the labelled documents with the `rows` smallest hashes of ids. Null labels are not used;
-    an id with several labels is bad if one of them is. None without labelled documents."""
+    """Fit and calibrate on the labelled documents with the `rows` smallest hashes of ids: the forest on two thirds of
+    them, the threshold on the others. Null labels and null ids are not used; an id with several labels is bad if one of
+    them is, and of documents that repeat an id one is read. None without labelled documents."""
     spark = docs.sparkSession
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("good"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(rows).collect()
     if not chosen:
         return None
-    few = spark.createDataFrame(chosen, f"id {labels.schema[id_col].dataType.simpleString()}, good int")
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "id")
+    few = spark.createDataFrame([(r.id, r.good, i % 3 == 0) for i, r in enumerate(chosen)], f"id {labels.schema[id_col].dataType.simpleString()}, good int, held boolean")
+    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "id")  # `rows` rows
+    joined = joined.groupBy("id", "good", "held").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
 
     def make():
         hashes = WordHashes()
-        return lambda batch: ({"good": part.column("good"), "id": part.column("id").cast(pa.string()), "stats": [list(text_stats(t, hashes)) for t in part.column("_text").to_pylist()]} for part in slices(batch, "_text"))
+        return lambda batch: ({"good": part.column("good"), "held": part.column("held"), "id": part.column("id").cast(pa.string()), "stats": [list(text_stats(t, hashes)) for t in part.column("_text").to_pylist()]} for part in slices(batch, "_text"))
 
-    sample = sorted(arrow_map(joined, make, "good int, id string, stats array<bigint>").collect(), key=lambda r: (r.id, r.stats))
+    sample = sorted(arrow_map(joined, make, "good int, held boolean, id string, stats array<bigint>").collect(), key=lambda r: r.id)
     sample = [r for r in sample if r.stats[0]]
     if not sample:
         return None
-    return QualityModel(np.array([r.stats for r in sample]), np.array([bool(r.good) for r in sample]), lost, seed)
+    return QualityModel(np.array([r.stats for r in sample]), np.array([bool(r.good) for r in sample]), np.array([r.held for r in sample]), lost, seed)
 
 
 def quality_rules(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text", least: int = 50, repeat_percent: int = 50) -> DataFrame:
