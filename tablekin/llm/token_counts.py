@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,6 +18,16 @@ from ._common import arrow_map, slices
 STABLE = re.compile(r"(?<=\S)(?= )")
 
 
+def byte_level(spec: dict) -> bool:
+    """Whether a tokenizer (the content of its file) has STABLE boundaries: the byte-level word rule, no normalizer, merges
+    within words only, and no added token that takes white space with it."""
+    pre = spec.get("pre_tokenizer") or {}
+    return (
+        not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec["model"].get("type") == "BPE" and spec["model"].get("dropout") is None
+        and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", []))
+    )
+
+
 def _starts(encoding) -> np.ndarray:
     return np.array(encoding.offsets, np.int64).reshape(-1, 2)[:, 0]
 
@@ -71,11 +83,12 @@ def _counts(path: str, chunk: int, overlap: int):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        most = chunk if byte_level(json.loads(Path(path).read_text())) else float("inf")
 
         def one(batch):
             for part in slices(batch, "_text", 1_000_000):
                 texts = [t or "" for t in part.column("_text").to_pylist()]
-                short = list({t for t in texts if len(t) <= chunk})
+                short = list({t for t in texts if len(t) <= most})
                 known = dict(zip(short, map(len, tokenizer.encode_batch_fast(short, add_special_tokens=False)), strict=True))
                 for t in texts:
                     if t not in known:
@@ -90,9 +103,9 @@ def _counts(path: str, chunk: int, overlap: int):
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, chunk: int = 32_768, overlap: int = 512) -> DataFrame:
     """`id_col`, n_bytes, n_tokens and over_limit (n_tokens > `limit`) for each row of docs.
 
-    Counts are those of the library for the file `tokenizer` (byte-level, with this tokenizer's word rule) without added
-    special tokens; special strings in a text count as the library's default has it. Texts over `chunk` characters go
-    through count_spliced(). Null counts as empty: 0 bytes, 0 tokens. No shuffle; rows are kept as they are, repeated or
+    Counts are those of the library for the file `tokenizer` without added special tokens; special strings in a text count
+    as the library's default has it. Texts over `chunk` characters go through count_spliced() if the tokenizer's file says
+    that it is byte_level(); texts for any other are encoded whole. Null counts as empty: 0 bytes, 0 tokens. No shuffle; rows are kept as they are, repeated or
     not. An empty table gives an empty one. Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
