@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import FORMAT_SHARE, FORMATS, PRIVATE_SHARE, PRIVATE_VALUES
+from ..store import forget, written
 
 STATS = (
     "table string, column string, position int, spark_type string, kind string, n_rows bigint, n_null bigint, "
@@ -187,13 +188,22 @@ def value_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return _union(parts).groupBy("c", "v", "w").agg(F.count("*").alias("n"))
 
 
-def pair_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(a, b, n_shared, dot, rows_a, rows_b, content) for column numbers a <= b with a value in common.
+def own_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(c, n_distinct, square, content) for each column number with values: its distinct count, the square of the norm of
+    its counts, and a sum of hashes of its values and their counts. Values of different columns need not meet for this."""
+    return value_counts(tables).groupBy("c").agg(
+        F.count("*").alias("n_distinct"), F.sum(F.col("n").cast("double") * F.col("n").cast("double")).alias("square"),
+        F.sum(F.xxhash64("v", "w", "n").cast("decimal(20,0)")).cast("string").alias("content"),
+    )
+
 
-    dot sums the products of counts; rows_a and rows_b sum the rows of the shared values. For a = b these are a column's
-    distinct count and the square of its norm, and content is a sum of hashes of its values and their counts.
+def pair_counts(counts: DataFrame) -> DataFrame:
+    """From value_counts(): (a, b, n_shared, dot, rows_a, rows_b, content) for column numbers a <= b with a value in common.
+
+    dot sums the products of counts; rows_a and rows_b sum the rows of the shared values. For a = b these are what
+    own_counts() gives.
     """
-    held = value_counts(tables).groupBy("v", "w").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("x"))
+    held = counts.groupBy("v", "w").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("x"))
     one = held.select(F.explode("x").alias("a"), "x", "v", "w")
     both = one.select("a", "v", "w", F.explode(F.filter("x", lambda y: y["c"] >= F.col("a.c"))).alias("b"))
     n, m = F.col("a.n").cast("double"), F.col("b.n").cast("double")
@@ -277,11 +287,12 @@ class Scan:
         return self.shared(a, b).dot / size if size else 0.0
 
 
-def scan(tables: Mapping[str, DataFrame], content: bool = True, keep: Scan | None = None, changed: set[str] | None = None) -> Scan:
-    """Profile tables. Without content, only the plain aggregates and distinct counts are of use to a naming-only scan.
+def scan(tables: Mapping[str, DataFrame], content: bool = True, keep: Scan | None = None, changed: set[str] | None = None, values: ValueTables | None = None) -> Scan:
+    """Profile tables. Without content only the plain aggregates and each column's own counts are taken, and no values meet.
 
-    With an earlier scan and the tables that have changed since, plain aggregates run on these alone; values are compared
-    again, since a changed table may share them with any other.
+    With an earlier scan and the tables that have changed since, plain aggregates run on these alone. Values are compared
+    again, since a changed table may share them with any other; with `values`, those of unchanged tables are read from
+    there instead of being counted anew, and those of changed ones are put there.
     """
     again = {t: df for t, df in tables.items() if keep is None or changed is None or t in changed or t not in keep.tables}
     profiles: dict[tuple[str, str], Profile] = {k: Profile(**v.__dict__) for k, v in (keep.profiles if keep else {}).items() if k[0] in tables and k[0] not in again}
@@ -292,23 +303,50 @@ def scan(tables: Mapping[str, DataFrame], content: bool = True, keep: Scan | Non
             profiles[r["table"], r["column"]].len_median = r["len_median"]
     out = Scan(profiles, {}, {t: df.columns for t, df in tables.items()})
     names = columns_of(tables)
-    if names:
-        for r in pair_counts(tables).collect():
-            a, b = names[r.a], names[r.b]
-            if r.a == r.b:
-                out.profiles[a].n_distinct, out.profiles[a].square, out.profiles[a].content = r.n_shared, r.dot, r.content
-            elif content:
-                out.pairs[a, b] = Shared(r.n_shared, r.dot, r.rows_a)
-                out.pairs[b, a] = Shared(r.n_shared, r.dot, r.rows_b)
+    if not names:
+        return out
+    if not content:
+        for r in own_counts(tables).collect():
+            p = out.profiles[names[r.c]]
+            p.n_distinct, p.square, p.content = r.n_distinct, r.square, r.content
+        return out
+    for r in pair_counts(values.counts(tables, set(again)) if values else value_counts(tables)).collect():
+        a, b = names[r.a], names[r.b]
+        if r.a == r.b:
+            out.profiles[a].n_distinct, out.profiles[a].square, out.profiles[a].content = r.n_shared, r.dot, r.content
+        else:
+            out.pairs[a, b] = Shared(r.n_shared, r.dot, r.rows_a)
+            out.pairs[b, a] = Shared(r.n_shared, r.dot, r.rows_b)
     return out
 
 
+class ValueTables:
+    """The value counts of each table of a set, written to the shared folder, for scans after some of them changed."""
+
+    def __init__(self):
+        self.held: dict[str, DataFrame] = {}
+
+    def counts(self, tables: Mapping[str, DataFrame], changed: set[str]) -> DataFrame:
+        """value_counts() of tables, counting only those that have changed or aren't held."""
+        for t in [t for t in self.held if t in changed or t not in tables]:
+            forget(self.held.pop(t))
+        for t, df in tables.items():
+            if t not in self.held and columns_of({t: df}):
+                self.held[t] = written(value_counts({t: df}), "values")
+        first, parts = 0, []
+        for t, df in tables.items():  # a table's columns have numbers of their own in what is held
+            if t in self.held:
+                parts.append(self.held[t].withColumn("c", F.col("c") + first))
+            first += len(columns_of({t: df}))
+        return _union(parts)
+
+
 def profile_frame(tables: Mapping[str, DataFrame]) -> DataFrame:
     """STATS with n_distinct, is_unique and count_norm for each column, as a DataFrame."""
     stats = _union([column_stats(t, df) for t, df in tables.items() if df.columns])
     names = columns_of(tables)
     spark = stats.sparkSession
-    own = pair_counts(tables).where("a = b").select("a", F.col("n_shared").alias("n_distinct"), F.sqrt("dot").alias("count_norm"))
+    own = own_counts(tables).select(F.col("c").alias("a"), "n_distinct", F.sqrt("square").alias("count_norm"))
     numbered = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(names)], "a int, table string, column string")
     known = stats.join(F.broadcast(numbered), ["table", "column"], "left").join(own, "a", "left")
     n = F.when(F.col("kind").isNotNull(), F.coalesce("n_distinct", F.lit(0)))
@@ -319,7 +357,7 @@ def comparison_frame(tables: Mapping[str, DataFrame]) -> DataFrame:
     """For each ordered pair of compared columns of different tables with a value in common: overlap, same_set and cosine."""
     names = columns_of(tables)
     spark: SparkSession = next(iter(tables.values())).sparkSession
-    counts = pair_counts(tables).persist()
+    counts = written(pair_counts(value_counts(tables)), "pairs")  # a row a pair of columns
     own = F.broadcast(counts.where("a = b").select(F.col("a").alias("c"), F.col("n_shared").alias("nd"), "dot"))  # a row a column
     numbered = F.broadcast(spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(names)], "c int, t string, col string"))
     two = counts.where("a <> b")
@@ -334,16 +372,35 @@ def comparison_frame(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def null_pattern(one: DataFrame, column: str, other: DataFrame, other_column: str, order: str) -> DataFrame:
-    """r: how the nulls of two columns correlate, row by row; rows meet by equal values of the unique column order.
+def null_patterns(tables: Mapping[str, DataFrame], scan: Scan, order: str) -> DataFrame:
+    """(from_table, from_col, to_table, to_col, r): how the nulls of two columns correlate, row by row, for all pairs of
+    columns with nulls and values in different tables of as many rows; rows meet by equal values of the column `order`.
 
-    0 unless both have as many rows, all of which meet, and both columns have nulls and values.
+    Only pairs whose tables have all rows in common are given. One shuffle by `order` serves them all: a row there is the
+    tables that have it and the columns that are null in it. Rows without a value of `order` meet none.
     """
-    a = one.select(F.col(order).alias("k"), F.col(column).isNull().cast("double").alias("x"))
-    b = other.select(F.col(order).alias("k"), F.col(other_column).isNull().cast("double").alias("y"))
-    sizes = a.agg(F.count("*").alias("n")).crossJoin(b.agg(F.count("*").alias("m")))  # a row each
-    met = a.join(b, "k").agg(F.count("*").cast("double").alias("met"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
-    spread = F.sqrt((F.col("met") * F.col("sx") - F.col("sx") * F.col("sx")) * (F.col("met") * F.col("sy") - F.col("sy") * F.col("sy")))
-    met = met.select("met", ((F.col("met") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(spread, F.lit(0.0))).alias("r"))
-    same = (F.col("n") == F.col("m")) & (F.col("met") == F.col("n"))
-    return sizes.crossJoin(met).select(F.when(same & F.col("r").isNotNull(), F.col("r")).otherwise(F.lit(0.0)).alias("r"))
+    some = [(t, p.column) for t in tables if order in scan.tables[t] for p in scan.columns(t) if 0 < p.n_null < p.n_rows and p.column != order]
+    names = sorted({t for t, _ in some}, key=list(tables).index)
+    spark = next(iter(tables.values())).sparkSession
+    if len(names) < 2:
+        return spark.createDataFrame([], "from_table string, from_col string, to_table string, to_col string, r double")
+    parts = []
+    for i, t in enumerate(names):
+        nulls = [f"CASE WHEN {sql_col(tables[t].schema[c])} IS NULL THEN {j} END" for j, (u, c) in enumerate(some) if u == t]
+        key = sql_text(tables[t].schema[order])
+        parts.append(tables[t].selectExpr(f"{key} AS k", f"{i} AS t", f"array_compact(array({', '.join(nulls)})) AS x").where("k IS NOT NULL"))
+    met = _union(parts).groupBy("k").agg(F.sort_array(F.collect_set("t")).alias("ts"), F.flatten(F.collect_list("x")).alias("x"))
+    either = F.array_union(F.transform("ts", lambda t: -1 - t), F.col("x"))  # tables as negative numbers
+    pair = met.select(F.explode(either).alias("a"), either.alias("e")).select("a", F.explode("e").alias("b")).where("a < b AND (a < 0) = (b < 0)")
+    n = {(r.a, r.b): r.n for r in pair.groupBy("a", "b").agg(F.count("*").alias("n")).collect()}  # a row a pair of columns or tables
+    rows = []
+    for i, (t, x) in enumerate(some):
+        for j, (u, y) in enumerate(some[i + 1 :], i + 1):
+            a, b = sorted((-1 - names.index(t), -1 - names.index(u)))
+            m = scan.rows(t)
+            if t == u or m != scan.rows(u) or n.get((a, b)) != m:
+                continue
+            p, q, both = scan.profiles[t, x].n_null, scan.profiles[u, y].n_null, n.get((i, j), 0)
+            r = (m * both - p * q) / (((m - p) * p) ** 0.5 * ((m - q) * q) ** 0.5)
+            rows += [(t, x, u, y, r), (u, y, t, x, r)]
+    return spark.createDataFrame(rows, "from_table string, from_col string, to_table string, to_col string, r double")

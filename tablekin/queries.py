@@ -13,7 +13,8 @@ from .operators.keys import detect_keys
 from .operators.links import links_frame
 from .operators.order_stats import example_values, numeric_ranges
 from .operators.privacy import review_queue
-from .operators.profile import column_stats, comparison_frame, length_medians, null_pattern, profile_frame, scan
+from .operators.profile import column_stats, comparison_frame, length_medians, profile_frame, scan
+from .operators.profile import null_patterns as null_patterns_of
 from .operators.review import declared_link, scan_estimate
 from .operators.shared import shared_columns
 from .plans.discovery import Discovery, discover
@@ -127,7 +128,8 @@ def null_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir)["orders"]
     one = orders.select("o_orderkey", F.when(F.col("o_custkey") % 7 > 0, F.col("o_custkey")).alias("x"))
     other = orders.select("o_orderkey", F.when((F.col("o_custkey") % 7 > 0) & (F.col("o_orderkey") % 5 > 0), F.col("o_totalprice")).alias("y"))
-    return null_pattern(one, "x", other, "y", "o_orderkey").select(F.round("r", 6).alias("r"))
+    both = {"one": one, "other": other}
+    return null_patterns_of(both, scan(both, content=False), "o_orderkey").where("from_table = 'one'").select(F.round("r", 6).alias("r"))
 
 
 def fk_links(spark: SparkSession, sf_dir: str) -> DataFrame:

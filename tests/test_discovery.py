@@ -4,13 +4,14 @@ import random
 from dataclasses import replace
 
 import duckdb
+import numpy as np
 import pytest
 
 from tablekin.config import Options, Switches
 from tablekin.operators.erd import automatic_detail, erd_model, erd_view
 from tablekin.operators.keys import Keys, apply_declared, detect_keys, is_lookup, key_candidates
 from tablekin.operators.links import Link, detect_links, resolve_parents, score_pair, score_signals, sort_links
-from tablekin.operators.profile import kind_of, null_pattern, scan
+from tablekin.operators.profile import kind_of, null_patterns, scan
 from tablekin.operators.review import Review, combine, declared_link, filter_links, manual_link, merge_declared_links, reviewed, scan_estimate, shared_columns_policy
 from tablekin.operators.shared import shared_columns
 from tablekin.plans.discovery import discover, rediscover
@@ -224,6 +225,16 @@ def test_composite_keys(spark):
     assert keys.composite == {"order_items": [["order_id", "product_id"]], "grid": [["a", "b", "c"]]}
 
 
+def test_composite_keys_by_slices(spark, monkeypatch):
+    import tablekin.operators.keys as module
+
+    monkeypatch.setattr(module, "SLICE_ROWS", 20)
+    monkeypatch.setattr(module, "SETS_AT_ONCE", 1)
+    rows = [(i // 20, i % 20, i // 2, i % 3, 7) for i in range(400)]
+    tables = {"m": frame(spark, "a int, b int, c int, d int, e int", rows), "near": frame(spark, "a int, b int, c int", [(*r[:2], 1) for r in [*rows, rows[0]]])}
+    assert detect_keys(tables, scan(tables)).composite == {"m": [["a", "b"]]}
+
+
 def test_declared_keys(spark):
     known = scan({"t": frame(spark, "a int, b int", [(1, 1), (2, 1)]), "e": frame(spark, "x int", [])})
     keys = detect_keys({}, known)
@@ -252,9 +263,15 @@ def test_shared_columns(spark):
 def test_null_patterns(spark):
     one = frame(spark, "k int, x int", [(i, None if i % 3 == 0 else i) for i in range(30)])
     other = frame(spark, "k int, y string", [(i, None if i % 3 == 0 else "v") for i in range(30)])
-    assert null_pattern(one, "x", other, "y", "k").first().r == pytest.approx(1)
-    assert null_pattern(one, "x", other.limit(20), "y", "k").first().r == 0
-    assert null_pattern(one.where("x is not null"), "x", other.where("y is not null"), "y", "k").first().r == 0
+    third = frame(spark, "k long, z int, w int", [(i, None if i % 3 == 0 or i == 1 else i, None if i % 2 else 1) for i in range(30)])
+    found = lambda **t: {(r.from_table, r.from_col, r.to_col): r.r for r in null_patterns(t, scan(t, content=False), "k").collect()}
+    got = found(a=one, b=other, c=third)
+    assert got["a", "x", "y"] == got["b", "y", "x"] == pytest.approx(1)
+    x, z = [i % 3 == 0 for i in range(30)], [i % 3 == 0 or i == 1 for i in range(30)]
+    assert got["a", "x", "z"] == pytest.approx(np.corrcoef(x, z)[0, 1]) and got["c", "w", "y"] == pytest.approx(np.corrcoef([i % 2 for i in range(30)], x)[0, 1])
+    assert ("c", "z", "w") not in got and len(got) == 10
+    assert not found(a=one, b=other.limit(20)) and not found(a=one.where("x is not null"), b=other) and not found(a=one)
+    assert not found(a=one, b=frame(spark, "k int, y string", [(i + 1, None if i % 3 == 0 else "v") for i in range(30)]))
 
 
 @pytest.fixture(scope="module")
