@@ -7,32 +7,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import arrow_map, written
+from ._common import arrow_map, forget, ship, written
 
 
 class ListIndex:
-    """Centroids of the posting lists and a neighbourhood graph that finds the ones near a vector."""
+    """Centroids of the posting lists and a neighbourhood graph that finds the ones near a vector.
 
-    def __init__(self, sample: np.ndarray, lists: int, seed: int = 0, rounds: int = 8, degree: int = 16):
+    Lists are balanced by handicaps: a vector belongs to the list of the least squared distance plus handicap, and while
+    the lists are fitted those with more vectors than the others get larger ones.
+    """
+
+    def __init__(self, sample: np.ndarray, lists: int, seed: int = 0, rounds: int = 8, turns: int = 24, degree: int = 16):
         rng = np.random.default_rng(seed)
         self.centroids = np.array(sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)], np.float64)
-        most = max(1, int(1.5 * len(sample) / len(self.centroids)))
+        n = len(self.centroids)
+        self.handicap = np.zeros(n)
         for _ in range(rounds):
-            near = self._nearest(sample)
-            count = np.bincount(near, minlength=len(self.centroids))
+            near, _ = self._nearest(sample)
+            count = np.bincount(near, minlength=n)
             sums = np.zeros_like(self.centroids)
             np.add.at(sums, near, sample)
             self.centroids = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], self.centroids)
-            empty = np.flatnonzero(count == 0).tolist()
-            for big in np.argsort(-count)[: len(empty)]:  # balance: an empty list takes over half of an overfull one
-                if count[big] > most:
+            empty = np.flatnonzero(count < 0.1 * len(sample) / n).tolist()
+            for big in np.argsort(-count)[: len(empty)]:  # a list of few vectors takes over a part of a full one
+                if count[big] > 2 * len(sample) / n:
                     own = sample[near == big]
                     self.centroids[empty.pop()] = own[rng.integers(len(own))]
-        n = len(self.centroids)
+        best = np.inf
+        for turn in range(turns if n > 1 else 0):  # the handicaps, for centroids that stay; the most even ones are taken
+            near, gap = self._nearest(sample)
+            count = np.bincount(near, minlength=n)
+            if (spread := float((count.astype(float) ** 2).sum())) < best:
+                best, kept = spread, self.handicap.copy()
+            self.handicap = self.handicap + 4 / (4 + turn) * float(np.median(gap)) * np.log((count + 1) / (len(sample) / n + 1))
+        if n > 1:
+            self.handicap = kept - kept.min()
         self.graph = np.empty((n, 0), np.int64)
         if n > 1:
             parts = [np.argpartition(_squares(self.centroids[a : a + 512], self.centroids), min(degree, n - 1), 1)[:, : degree + 1] for a in range(0, n, 512)]
@@ -40,63 +54,64 @@ class ListIndex:
             self.graph = np.concatenate([np.concatenate(parts), far], 1)
         self.entries = rng.choice(n, min(8, n), replace=False)
 
-    def _nearest(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([_squares(x[a : a + 4096], self.centroids).argmin(1) for a in range(0, len(x), 4096)])
+    def _nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The list of each vector, and by how much the next one is farther."""
+        near, gap = [], []
+        for a in range(0, len(x), 4096):
+            d = _squares(x[a : a + 4096], self.centroids) + self.handicap
+            near.append(d.argmin(1))
+            two = np.partition(d, 1, 1) if d.shape[1] > 1 else np.zeros((len(d), 2))
+            gap.append(two[:, 1] - two[:, 0])
+        return np.concatenate(near), np.concatenate(gap)
 
     def assign(self, x: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of each vector's nearest list and, for vectors at a boundary, further ones within ratio x that distance."""
-        d = np.sqrt(_squares(x, self.centroids))
+        """(row, list) of each vector's own list and, for vectors at a boundary, further ones within ratio x its distance."""
+        d = np.sqrt(_squares(x, self.centroids) + self.handicap)
         k = min(most, d.shape[1])
         near = np.argpartition(d, k - 1, 1)[:, :k] if k < d.shape[1] else np.broadcast_to(np.arange(k), d.shape)
         dist = np.take_along_axis(d, near, 1)
         row, col = np.nonzero(dist <= ratio * dist.min(1, keepdims=True))
         return row, near[row, col]
 
-    def search(self, q: np.ndarray, width: int) -> list[tuple[float, int]]:
-        """The nearest centroids of a best-first walk over the graph: (distance, list), nearest first."""
+    def search(self, q: np.ndarray, ratio: float, beam: int = 48) -> list[tuple[float, int]]:
+        """Lists that a best-first walk over the graph meets within ratio x the distance of the nearest one: (distance,
+        list), nearest first. The walk goes on while what it meets may lead to such lists, and to the `beam` nearest."""
         seen = set(self.entries.tolist())
         start = list(seen)
         heap = list(zip(self._to(q, start), start, strict=True))
-        best = [(-d, c) for d, c in heap]
+        found, best = list(heap), [-d for d, _ in heap]
         heapq.heapify(heap)
         heapq.heapify(best)
+        least = min(d for d, _ in found)
         while heap:
             d, c = heapq.heappop(heap)
-            if len(best) >= width and d > -best[0][0]:
+            if len(best) >= beam and d > -best[0] and d > 1.1 * ratio * least:
                 break
             new = [x for x in set(self.graph[c].tolist()) if x not in seen]
             seen.update(new)
             for x, e in zip(new, self._to(q, new), strict=True):
-                if len(best) < width or e < -best[0][0]:
-                    heapq.heappush(heap, (e, x))
-                    heapq.heappush(best, (-e, x))
-                    if len(best) > width:
-                        heapq.heappop(best)
-        return sorted((-d, c) for d, c in best)
+                least = min(least, e)
+                heapq.heappush(heap, (e, x))
+                found.append((e, x))
+                heapq.heappush(best, -e)
+                if len(best) > beam:
+                    heapq.heappop(best)
+        return sorted(f for f in found if f[0] <= ratio * least + 1e-12)
 
     def _to(self, q: np.ndarray, some: list[int]) -> list[float]:
         return np.sqrt(((self.centroids[some] - q) ** 2).sum(1)).tolist()
 
-    def calibrate(self, sample: np.ndarray, k: int, share: float, copies: int, copy_ratio: float, seed: int = 0) -> float:
-        """The distance ratio within which lists hold `share` of the k nearest rows of 200 rows of the sample."""
-        rng = np.random.default_rng(seed)
-        some = rng.choice(len(sample), min(200, len(sample)), replace=False)
+    def calibrate(self, queries: np.ndarray, near: list[np.ndarray], share: float, copies: int, copy_ratio: float) -> float:
+        """The distance ratio within which lists hold `share` of the given nearest vectors of these queries."""
         need = []
-        for i in some:
-            d = _squares(sample[i : i + 1], sample)[0]
-            d[i] = np.inf
-            near = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
-            row, lists = self.assign(sample[near], copies, copy_ratio)
-            to = np.sqrt(_squares(sample[i : i + 1], self.centroids)[0])
-            best = np.full(len(near), np.inf)
-            np.minimum.at(best, row, to[lists])
-            need.append(best / max(to.min(), 1e-12))
-        return float(np.quantile(np.concatenate(need), share)) if len(sample) > 1 else 1.0
-
-    def select(self, q: np.ndarray, width: int, ratio: float) -> list[int]:
-        """The lists of a search within ratio x the nearest one's distance."""
-        found = self.search(q, width)
-        return [c for d, c in found if d <= ratio * found[0][0] + 1e-12]
+        for q, x in zip(queries, near, strict=True):
+            if len(x):
+                row, lists = self.assign(x, copies, copy_ratio)
+                to = np.sqrt(_squares(q[None], self.centroids)[0])
+                best = np.full(len(x), np.inf)
+                np.minimum.at(best, row, to[lists])
+                need.append(best / max(to.min(), 1e-12))
+        return float(np.quantile(np.concatenate(need), share, method="higher")) if need else 1.0
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -136,34 +151,61 @@ def _top(k: int):
     return run
 
 
-def buckets_of(index: ListIndex, counts: dict[int, int], most: int) -> list[tuple[int, int, int, int]]:
-    """(list, parts, part, bucket): lists of over `most` rows in parts; near ones together in buckets of about `most` rows."""
+def buckets_of(index: ListIndex, counts: dict[int, int], most: int) -> list[tuple[int, int, int]]:
+    """(list, parts, first bucket), a row a list: a list of over `most` rows has so many buckets of its own; near ones share
+    buckets of about `most` rows."""
     middle = index.centroids - index.centroids.mean(0)
     axis = np.linalg.svd(middle, full_matrices=False)[2][0]
     out, bucket, held = [], 0, 0
     for c in sorted(counts, key=lambda c: (float(middle[c] @ axis), c)):
         parts = -(-counts[c] // most)
-        for p in range(parts):
-            rows = counts[c] // parts
-            if held and held + rows > most:
-                bucket, held = bucket + 1, 0
-            held += rows
-            out.append((c, parts, p, bucket))
+        if held and held + counts[c] > most:
+            bucket, held = bucket + 1, 0
+        out.append((c, parts, bucket))
+        bucket, held = (bucket + parts, 0) if parts > 1 else (bucket, held + counts[c])
     return out
 
 
+def exact_nearest(unique: DataFrame, queries: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k nearest other vectors of each of a few queries among all rows of unique (v): a pass over them, in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.empty(0), np.empty((0, queries.shape[1])))] * len(queries)
+        for batch in batches:
+            for a in range(0, len(batch), 4096):
+                x = _matrix(batch.column("v").slice(a, 4096))
+                for i, d in enumerate(_squares(queries, x)):
+                    some = np.argpartition(d, k)[: k + 1] if len(d) > k + 1 else np.arange(len(d))
+                    dist, rows = np.concatenate([best[i][0], d[some]]), np.concatenate([best[i][1], x[some]])
+                    order = np.argsort(dist, kind="stable")[: k + 1]
+                    best[i] = dist[order], rows[order]
+        q = np.repeat(np.arange(len(queries)), [len(d) for d, _ in best])
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(np.concatenate([d for d, _ in best])), pa.array([r.tolist() for _, rows in best for r in rows], pa.list_(pa.float64()))], names=["q", "d", "v"])
+
+    ship(unique.sparkSession)
+    found = unique.select("v").mapInArrow(run, "q int, d double, v array<double>")
+    top = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("d", "v"))).where(F.col("n") <= k + 1)
+    out: list[list] = [[] for _ in queries]
+    for r in top.collect():  # a few rows a query
+        if not np.array_equal(r.v, queries[r.q]):
+            out[r.q].append((r.d, r.v))
+    return [np.array([v for _, v in sorted(some)[:k]]).reshape(-1, queries.shape[1]) for some in out]
+
+
 def nearest_neighbours(
     vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-    sample: int = 20_000, list_rows: int = 128, most_lists: int = 4096, copies: int = 2, copy_ratio: float = 1.05, width: int = 1024, recall: float = 0.95, bucket_rows: int = 8192,
+    sample: int = 20_000, sample_numbers: int = 8_000_000, list_rows: int = 128, copies: int = 2, copy_ratio: float = 1.05, recall: float = 0.96, measured: int = 64, bucket_rows: int = 8192, bucket_queries: int = 2048,
 ) -> DataFrame:
     """For each row whose id is divisible by `every`, its k nearest other rows by Euclidean distance, ties to smaller ids.
 
-    Lists are fitted on `sample` rows at most, one for `list_rows` rows up to `most_lists`; every row is indexed. A row
-    at a boundary goes to as many as `copies` lists within `copy_ratio` of its nearest one. A query walks the graph of
-    centroids and searches the lists within a ratio of the nearest one's distance, `width` at most; the ratio is that at which 200 rows
-    of the sample find the share `recall` of their nearest in it. Equal vectors are indexed once, with
-    their k + 1 smallest ids: no more of them can be among a query's k. Lists that lie near each other are searched together,
-    in buckets of about `bucket_rows` rows, into which long lists are cut. Queries that find fewer than k rows search all
+    Lists are fitted on `sample` rows at most, or as many as hold `sample_numbers` numbers; there is one for `list_rows`
+    rows, or a quarter as many as the sample has rows if these are fewer, so that beyond lists grow longer instead of more.
+    Every row is indexed. A row at a boundary goes to as many as `copies` lists within `copy_ratio` of its own. A query
+    walks the graph of centroids and searches all lists within a ratio of the nearest one's distance. That ratio is
+    measured: `measured` of the queries are compared with all rows, and it is the one at which lists hold the share
+    `recall` of what was found. Equal vectors are indexed once, with their k + 1 smallest ids: no more of them can be
+    among a query's k. Lists that lie near each other are searched together, in buckets of about `bucket_rows` rows, into
+    which long lists are cut, by up to `bucket_queries` queries at a time. Queries that find fewer than k rows search all
     lists.
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids and vectors of any
     but the most frequent length. Of rows repeating an id with equal vectors one counts. Returns query_id, rank, vec_id
@@ -185,10 +227,13 @@ def nearest_neighbours(
     asked = written(queries.groupBy("v").agg(F.min("id").alias("q")), "asked")
 
     total = unique.count()
-    part = unique.select("v", F.element_at("ids", 1).alias("i")).orderBy(F.xxhash64("i"), "i").limit(max(1, min(sample, 8_000_000 // size[0]["n"]))).select("v").collect()
+    part = unique.select("v", F.element_at("ids", 1).alias("i")).orderBy(F.xxhash64("i"), "i").limit(max(1, min(sample, sample_numbers // size[0]["n"]))).select("v").collect()
     part = np.array([r.v for r in part], np.float64)
-    index = ListIndex(part, max(1, min(most_lists, total // list_rows)))
-    ratio = index.calibrate(part, k, recall, copies, copy_ratio)
+    index = ListIndex(part, max(1, min(len(part) // 4, total // list_rows)))
+    some = np.array([r.v for r in asked.orderBy(F.xxhash64("q"), "q").limit(measured).collect()], np.float64).reshape(-1, size[0]["n"])
+    if not len(some):
+        return spark.createDataFrame([], empty)
+    ratio = index.calibrate(some, exact_nearest(unique, some, k), recall, copies, copy_ratio)
 
     def assign():
         def one(batch):
@@ -203,7 +248,7 @@ def nearest_neighbours(
         def one(batch):
             for a in range(0, len(batch), 1000):
                 cut = batch.slice(a, 1000)
-                found = [index.select(q, width, ratio) for q in _matrix(cut.column("v"))]
+                found = [[c for _, c in index.search(q, ratio)] for q in _matrix(cut.column("v"))]
                 row = np.repeat(np.arange(len(cut)), [len(f) for f in found])
                 yield {"list": [c for f in found for c in f], "v": cut.column("v").take(row_array(row)), "q": cut.column("q").take(row_array(row))}
 
@@ -211,24 +256,31 @@ def nearest_neighbours(
 
     kind = unique.schema["v"].dataType.simpleString()
     postings = written(arrow_map(unique, assign, f"list int, v {kind}, ids array<bigint>"), "postings")
-    counts = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}  # most_lists rows
-    placed = buckets_of(index, counts, bucket_rows)
-    held, of_list = (spark.createDataFrame(placed, "list int, parts int, part int, bucket int") for _ in range(2))
-    mine = F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int") == F.col("part")
-    cut = postings.join(F.broadcast(held), "list").where(mine).select("bucket", "list", "v", "ids")
-
-    def searched(wanted: DataFrame) -> DataFrame:
-        """Rows (q, near): the k + 1 nearest distinct vectors in the lists of wanted (list, v, q)."""
-        each = wanted.join(F.broadcast(of_list), "list").groupBy("bucket", "q").agg(F.first("v").alias("v"), F.collect_set("list").alias("lists"))
-        found = cut.groupBy("bucket").cogroup(each.groupBy("bucket")).applyInPandas(_top(k + 1), "q long, d double, first long, ids array<bigint>")
-        return found.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "first", "ids"))), 1, k + 1).alias("near"))
+    forget(unique)
+    counts = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}  # a row a list
+    held = F.broadcast(spark.createDataFrame(buckets_of(index, counts, bucket_rows), "list int, parts int, bucket int"))  # a row a list
+    cut = postings.join(held, "list").select((F.col("bucket") + F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int")).alias("bucket"), "list", "v", "ids")
+
+    def searched(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows (q, near): the k + 1 nearest distinct vectors in the lists of wanted (list, v, q); and what it is read from."""
+        each = wanted.join(held, "list").select("q", "v", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("bucket").alias("b"))
+        each = each.groupBy((F.col("b") + F.col("i")).alias("bucket"), "q").agg(F.first("v").alias("v"), F.collect_set("list").alias("lists"))
+        each = written(each, "each")
+        turns = written(each.groupBy("bucket").agg(F.ceil(F.count("*") / bucket_queries).cast("int").alias("turns")), "turns")
+        again = spark.read.schema(turns.schema).parquet(turns._place)
+        left = cut.join(turns, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "list", "v", "ids")
+        right = each.join(again, "bucket").select("bucket", F.pmod(F.xxhash64("q"), F.col("turns")).cast("int").alias("turn"), "q", "v", "lists")
+        found = left.groupBy("bucket", "turn").cogroup(right.groupBy("bucket", "turn")).applyInPandas(_top(k + 1), "q long, d double, first long, ids array<bigint>")
+        return found.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "first", "ids"))), 1, k + 1).alias("near")), each
 
     wanted = arrow_map(asked.select("v", "q"), select, f"list int, v {kind}, q long")
-    found = written(searched(wanted), "found")
+    near, each = searched(wanted)
+    found = written(near, "found")
+    forget(each)
     enough = F.aggregate("near", F.lit(0), lambda n, x: n + F.size(x["ids"])) > k
     short = asked.join(found.where(enough).select("q"), "q", "left_anti")
-    every_list = short.crossJoin(F.broadcast(held.select("list").distinct())).select("list", "v", "q")  # the lists, few, for queries, fewer
-    found = found.where(enough).unionByName(searched(every_list))
+    every_list = short.crossJoin(F.broadcast(spark.createDataFrame([(c,) for c in counts], "list int"))).select("list", "v", "q")  # the lists, few, for queries, fewer
+    found = found.where(enough).unionByName(searched(every_list)[0])
     flat = F.flatten(F.transform("near", lambda x: F.transform(x["ids"], lambda i: F.struct(x["d"].alias("d"), i.alias("i")))))
     ranked = queries.join(asked, "v").join(found, "q").select(F.col("id").alias("query_id"), flat.alias("near"))
     best = F.slice(F.array_sort(F.filter("near", lambda x: x["i"] != F.col("query_id"))), 1, k)
@@ -236,9 +288,7 @@ def nearest_neighbours(
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), F.col("x.d").alias("score"))
 
 
-def row_array(rows: np.ndarray):
-    import pyarrow as pa
-
+def row_array(rows: np.ndarray) -> pa.Array:
     return pa.array(rows, pa.int64())
 
 

@@ -5,6 +5,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,26 +178,46 @@ def test_language_id_odd_rows(spark):
     assert twice.where("lang_pred = again").count() == len(rows)
 
 
-def test_nearest_neighbours_recall(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+def recall_of(spark, rows, **options):
+    """Recall of each query, by brute force, after a check of ranks and scores."""
     table = rows.toPandas()
     ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"].to_numpy())
-    want = defaultdict(list)
+    want, exact = defaultdict(set), {}
     for q, _, i, d in brute_force(ids, x, 100, 10):
-        want[q].append((i, d))
+        want[q].add(i)
+        exact[q, i] = d
     got = defaultdict(list)
-    for r in nearest_neighbours(rows, list_rows=40).collect():
+    for r in nearest_neighbours(rows, **options).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     assert set(got) == set(want)
-    hits = 0
-    exact = {(q, i): d for q in want for i, d in want[q]}
     for q, found in got.items():
         found.sort()
         assert [f[0] for f in found] == list(range(1, 11)) and [f[2] for f in found] == sorted(f[2] for f in found)
-        hits += len({f[1] for f in found} & {i for i, _ in want[q]})
-        for _, i, d in found:
-            assert d == pytest.approx(exact.get((q, i), d), abs=1e-12)
-    assert hits >= 0.9 * 10 * len(want)
+        assert all(d == pytest.approx(exact.get((q, i), d), abs=1e-12) for _, i, d in found)
+    return [len({f[1] for f in got[q]} & want[q]) / 10 for q in want]
+
+
+@pytest.mark.parametrize("options", [{}, {"list_rows": 40, "bucket_rows": 64, "bucket_queries": 3}])  # as registered; and long lists, cut
+def test_nearest_neighbours_recall(spark, options):
+    found = recall_of(spark, spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), **options)
+    assert np.mean(found) >= 0.9 and min(found) >= 0.5
+
+
+def test_nearest_neighbours_recall_on_many(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    middles = rng.standard_normal((300, 32))
+    x = middles[rng.integers(0, 300, 50_000)] + 0.6 * rng.standard_normal((50_000, 32))
+    pq.write_table(pa.table({"vec_id": np.arange(50_000), "embedding": pa.array(list(x))}), tmp_path / "v.parquet")
+    found = recall_of(spark, spark.read.parquet(f"file://{tmp_path}/v.parquet"))
+    assert np.mean(found) >= 0.9
+
+
+def test_lists_are_balanced():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal((4000, 8)), 0.1 * rng.standard_normal((4000, 8)) + 3])  # half of them in one place
+    index = ListIndex(x, 64)
+    count = np.bincount(index._nearest(x)[0], minlength=64)
+    assert count.max() <= 4 * len(x) / 64 and np.median(count) >= 0.3 * len(x) / 64
 
 
 def test_nearest_neighbours_odd_rows(spark):
@@ -219,7 +241,7 @@ def test_graph_walk_finds_near_centroids():
     hits = 0
     for q in x[:50]:
         d = ((index.centroids - q) ** 2).sum(1)
-        hits += len(set(np.argsort(d)[:10].tolist()) & {c for _, c in index.search(q, 32)[:10]})
+        hits += len(set(np.argsort(d)[:10].tolist()) & {c for _, c in index.search(q, 3.0)[:10]})
     assert hits >= 450
 
 
