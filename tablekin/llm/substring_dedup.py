@@ -1,14 +1,18 @@
 """Substring deduplication by Relative Lempel-Ziv parsing.
 
-The corpus is its own reference. A text is cut into phrases that depend on content alone: each window of `window`
-words belongs to the smallest-hashed `gram`-word sequence in it, its anchor, and the windows of one anchor make one
-phrase. The phrases of all texts, indexed by anchor, are the reference blocks. The parse runs in two steps:
-
-1. Greedy factors. A phrase is looked up in the block of its anchor, which holds every place in the corpus that could
-   match. If the whole phrase is there again it extends the text's present factor; neighbouring phrases overlap by
-   `window` - 1 words, so a run of them is one long factor, and each window inside is a duplicate.
-2. Factor boundaries. Where the block holds the anchor but not the whole phrase, a factor ends within the phrase.
-   Each window across that boundary is looked up by itself.
+The corpus is its own reference, and each text is factored against all of it but itself. A text is cut into phrases that
+depend on content alone: each window of `window` words belongs to the smallest-hashed `gram`-word sequence in it, its
+anchor, and the windows of one anchor make one phrase. The phrases of all texts, indexed by anchor, are the reference
+blocks. The parse runs in three steps:
+
+1. Index. A phrase is looked up in the block of its anchor, which holds every place in the corpus that could match. The
+   block names two places of each phrase that is there again, the least and the greatest, as sources.
+2. Boundaries. Where a block holds the anchor but not the whole phrase, any match ends within the phrase. Each window
+   across that boundary is looked up by itself, in an index of the same kind.
+3. Greedy factors. From left to right, a factor starts at the first place that is matched and not yet passed, with that of
+   the two sources which goes on for longer, and takes in all that follows there as in the text; the next factor starts
+   behind it. Neighbouring pieces overlap by `window` - 1 words, so no factor is shorter than a window, and factors
+   together cover exactly the words of the windows that are elsewhere as well. These are the duplicate spans.
 
 Equal windows have equal anchors, so no match is missed; hashes are of 64 bits, compared only within equal anchors.
 A block is never gathered: phrases meet by aggregates that combine before the shuffle, and by joins that AQE can split.
@@ -20,11 +24,12 @@ import hashlib
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ._common import BASE, BASE_INVERSE, WordHashes, arrow_map, grams, slices, words_of, written
+from ._common import BASE, BASE_INVERSE, WordHashes, arrow_map, forget, grams, slices, words_of, written
 
 GRAM = 10
 
@@ -57,10 +62,15 @@ def phrases(h: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, .
     return first, count, g[at[first]], body ^ (shape * np.uint64(0xD6E8FEB86659FD93))
 
 
+def text_key(ident: Column, text: Column) -> Column:
+    """What names a text as a source."""
+    return F.xxhash64(ident, text)
+
+
 def _key(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
     return df.select(
         F.struct(*[F.col(c) for c in carry]).alias("_rest"), F.col(text_col).alias("_text"),
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"),
+        text_key(F.col(id_col), F.col(text_col)).alias("_key"),
         F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col)).bitwiseAND((1 << 24) - 1).cast("int").alias("_check"),
     )
 
@@ -119,28 +129,63 @@ def _boundary_rows(window: int):
     return make
 
 
-def _cut_rows(window: int):
+def greedy_factors(first: list[int], count: list[int], sources: list[tuple[tuple[int, int], ...]], window: int) -> list[tuple[int, int, int, int]]:
+    """(start, length, source text, start there) of each factor, in words.
+
+    Pieces are runs of `count` matched windows from window `first` on, in order; sources are (text, start there).
+    """
+    out, i, n = [], 0, len(first)
+    while i < n:
+        best, end = sources[i][0], i + 1
+        for text, at in sources[i]:
+            shift, j = at - first[i], i + 1
+            while j < n and first[j] == first[j - 1] + count[j - 1] and (text, first[j] + shift) in sources[j]:
+                j += 1
+            if j > end:
+                best, end = (text, at), j
+        out.append((first[i], first[end - 1] + count[end - 1] - first[i] + window - 1, *best))
+        i = end
+    return out
+
+
+def _pieces_of(marks: pa.StructArray, key: int, check: int, size: int, window: int) -> tuple[list, list, list]:
+    """first, count and sources of the pieces of a text of `size` words, in order; a place is no source of itself, unless
+    all its occurrences are in rows that repeat."""
+    place, *ends = (marks.field(c).to_numpy() for c in ("place", "lk", "lp", "gk", "gp"))
+    keep = np.flatnonzero(((place >> 8) & 0xFFFFFF == check) & ((place >> 32) + (place & 255) + window - 1 <= size))
+    first, count = place[keep] >> 32, place[keep] & 255
+    order = np.lexsort((-count, first))
+    ends_before = np.maximum.accumulate(np.concatenate([[0], (first + count)[order]]))[:-1]
+    keep = keep[order[first[order] >= ends_before]]  # once each, and no windows of a phrase that is matched as a whole
+    place, (lk, lp, gk, gp) = place[keep], (x[keep] for x in ends)
+    other = [(lk != key) | (lp != place), ((gk != key) | (gp != place)) & ((gk != lk) | (gp != lp))]
+    sources = [((a, b),) * x + ((c, d),) * y or ((a, b),) for a, b, c, d, x, y in zip(*(v.tolist() for v in (lk, lp >> 32, gk, gp >> 32, *other)), strict=True)]
+    return (place >> 32).tolist(), (place & 255).tolist(), sources
+
+
+def _cut_rows(window: int, factors: bool):
     def make():
         def one(batch):
             for part in slices(batch, "_text"):
-                out = {c: [] for c in ("n_words", "n_removed", "kept_sha256", "kept_text")}
-                for text, check, marks in zip(*(part.column(c).to_pylist() for c in ("_text", "_check", "marks")), strict=True):
-                    words, gone = words_of(text), 0
-                    if marks:
-                        p = np.array(marks, np.int64)
-                        p = p[(p >> 8) & 0xFFFFFF == check]
-                        first, last = p >> 32, (p >> 32) + (p & 255) + window - 1
-                        ok = last <= len(words)
-                        edge = np.zeros(len(words) + 1, np.int32)
-                        np.add.at(edge, first[ok], 1)
-                        np.add.at(edge, last[ok], -1)
-                        cover = np.cumsum(edge)[:-1] > 0
+                out = {c: [] for c in ("n_words", "n_removed", "kept_sha256", "kept_text", "factors")}
+                marks, has = part.column("marks"), part.column("marks").is_valid().to_pylist()
+                for i, (text, key, check) in enumerate(zip(*(part.column(c).to_pylist() for c in ("_text", "_key", "_check")), strict=True)):
+                    words, gone, found = words_of(text), 0, []
+                    if has[i]:
+                        found = greedy_factors(*_pieces_of(marks.slice(i, 1).flatten(), key, check, len(words), window), window)
+                        cover = np.zeros(len(words), bool)
+                        for start, length, _, _ in found:
+                            cover[start : start + length] = True
                         gone = int(cover.sum())
                         if gone:
                             words = [w for w, c in zip(words, cover.tolist(), strict=True) if not c]
                     kept = b" ".join(words)
-                    for c, v in zip(out, (len(words) + gone, gone, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if gone else text), strict=True):
+                    for c, v in zip(out, (len(words) + gone, gone, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if gone else text, found), strict=True):
                         out[c].append(v)
+                if factors:
+                    out["factors"] = [[dict(zip(("start", "length", "source", "source_start"), f, strict=True)) for f in found] for found in out["factors"]]
+                else:
+                    del out["factors"]
                 yield out | {"_rest": part.column("_rest")}
 
         return one
@@ -148,13 +193,14 @@ def _cut_rows(window: int):
     return make
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, carry: Sequence[str] = ()) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, carry: Sequence[str] = (), factors: bool = False) -> DataFrame:
     """Remove each word that lies in a `window`-word sequence starting anywhere else in the corpus as well.
 
     Returns a row per row of docs: `id_col`, n_words, n_removed, kept_sha256 and kept_text: the kept words joined by a
-    space, or the text as it was if nothing goes; then the columns `carry`. A null or empty text has no words and stays. Repeated rows count as
-    documents of their own, so all of a repeated long text goes. Null ids are ids like others. An empty table gives an
-    empty one. Other columns are not read. Texts shorter than a window are kept.
+    space, or the text as it was if nothing goes; then the columns `carry`, and, if asked for, `factors` of the parse:
+    start and length in words, source (text_key() of the text matched) and source_start. A null or empty text has no words
+    and stays. Repeated rows count as documents of their own, so all of a repeated long text goes. Null ids are ids like
+    others. An empty table gives an empty one. Other columns are not read. Texts shorter than a window are kept.
     """
     if not GRAM < window < 256:
         raise ValueError(f"a window has {GRAM + 1} to 255 words")
@@ -164,19 +210,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi")).where("n > 1")
     blocks = written(blocks.select("anchor", (F.col("lo") == F.col("hi")).alias("whole")), "blocks")  # else a frequent anchor's rows can't be split
     met = written(found.join(blocks, "anchor"), "met")
-    mixed = met.where("not whole")
-    each = written(mixed.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("k", "place")).alias("first")), "each")
-    again = mixed.join(each.where("n > 1").select("anchor", "phrase"), ["anchor", "phrase"]).select("k", "place")
-    asked = each.select("first.*").groupBy("k").agg(F.collect_list("place").alias("asked"))
+    forget(found, blocks)
+    ends = [F.count("*").alias("n"), F.min(F.struct("k", "place")).alias("l"), F.max(F.struct("k", "place")).alias("g")]
+    sources = [F.col("l.k").alias("lk"), F.col("l.place").alias("lp"), F.col("g.k").alias("gk"), F.col("g.place").alias("gp")]
+    each = written(met.groupBy("anchor", "phrase").agg(F.first("whole").alias("whole"), *ends), "each")
+    again = met.join(each.where("n > 1").select("anchor", "phrase", *sources), ["anchor", "phrase"]).select("k", "place", "lk", "lp", "gk", "gp")
+    asked = each.where("not whole").select("l.*").groupBy("k").agg(F.collect_list("place").alias("asked"))
     texts = base.select("_rest", "_text", "_key", "_check")
-    edges = arrow_map(texts.join(asked, texts["_key"] == asked["k"]).select("_rest", "_text", "_key", "_check", "asked"), _boundary_rows(window), "k long, place long, body long")
+    edges = arrow_map(texts.join(asked, texts["_key"] == asked["k"]).select("_text", "_key", "_check", "asked"), _boundary_rows(window), "k long, place long, body long")
     edges = written(edges.dropDuplicates(["k", "place", "body"]), "edges")
-    twice = written(edges.groupBy("body").agg(F.count("*").alias("n")).where("n > 1").select("body"), "twice")
-    marks = met.where("whole").select("k", "place").unionByName(again).unionByName(edges.join(twice, "body").select("k", "place"))
-    marks = marks.groupBy("k").agg(F.collect_set("place").alias("marks"))
-    kind = StructType([base.schema["_rest"], *_parse_datatype_string("n_words long, n_removed long, kept_sha256 string, kept_text string").fields])
-    cut = arrow_map(texts.join(marks, texts["_key"] == marks["k"], "left").select("_rest", "_text", "_check", "marks"), _cut_rows(window), kind)
-    return cut.select(F.col("_rest")[id_col].alias(id_col), "n_words", "n_removed", "kept_sha256", "kept_text", *[F.col("_rest")[c].alias(c) for c in columns[1:]])
+    twice = written(edges.groupBy("body").agg(*ends).where("n > 1").select("body", *sources), "twice")
+    pieces = written(again.unionByName(edges.join(twice, "body").drop("body")), "pieces")
+    forget(met, each, edges, twice)
+    marks = pieces.groupBy("k").agg(F.collect_list(F.struct("place", "lk", "lp", "gk", "gp")).alias("marks"))
+    more = "n_words long, n_removed long, kept_sha256 string, kept_text string" + ", factors array<struct<start:bigint,length:bigint,source:bigint,source_start:bigint>>" * factors
+    kind = StructType([base.schema["_rest"], *_parse_datatype_string(more).fields])
+    cut = arrow_map(texts.join(marks, texts["_key"] == marks["k"], "left").select("_rest", "_text", "_key", "_check", "marks"), _cut_rows(window, factors), kind)
+    return cut.select(F.col("_rest")[id_col].alias(id_col), "n_words", "n_removed", "kept_sha256", "kept_text", *[F.col("_rest")[c].alias(c) for c in columns[1:]], *["factors"] * factors)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", window: int = 35) -> DataFrame:

@@ -17,7 +17,7 @@ from tablekin.llm._common import n_words
 from tablekin.llm.mixing import mix_sources, mixed, quality_weight
 from tablekin.llm.packing import WordIds, Windows, best_fit_decreasing, pack, parts_words
 from tablekin.llm.sharding import shard_by_bytes
-from tablekin.llm.substring_dedup import phrases, substring_dedup
+from tablekin.llm.substring_dedup import phrases, substring_dedup, text_key
 from tablekin.llm.token_counts import byte_level, count_spliced, token_counts
 from tablekin.llm.warc import page_archives, parse_archive, resolve_revisits, write_archives
 
@@ -62,6 +62,59 @@ def test_substring_dedup_is_exact(spark, odd):
     assert substring_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_factors_are_a_greedy_parse(spark, odd):
+    """Each factor stands at its source, not at its own place, and can't go on there by a whole piece; factors cover what
+    brute force finds; and where a text has one source only, they are those of a plain parse by longest match."""
+    rows = [r for r in odd if r[0] not in (None, 3, 5)]
+    docs = docs_of(spark, rows).select("doc_id", "text")
+    keys = {r.k: r.text for r in docs.select("text", text_key(F.col("doc_id"), F.col("text")).alias("k")).collect()}
+    own = {r.doc_id: r.k for r in docs.select("doc_id", text_key(F.col("doc_id"), F.col("text")).alias("k")).collect()}
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    texts = {i: split(t) for i, t, _ in rows}
+    starts = Counter(tuple(w[a : a + 35]) for w in texts.values() for a in range(len(w) - 34))
+    n = 0
+    for r in substring_dedup(docs, factors=True).collect():
+        words, cover, end = texts[r.doc_id], set(), 0
+        for f in r.factors:
+            source = split(keys[f.source])
+            assert f.length >= 35 and (f.source, f.source_start) != (own[r.doc_id], f.start)
+            assert words[f.start : f.start + f.length] == source[f.source_start : f.source_start + f.length]
+            assert f.start >= end - 34  # a window across the boundary of two factors may belong to the later one
+            cover |= set(range(f.start, f.start + f.length))
+            end = f.start + f.length
+            n += 1
+        assert cover == {a + k for a in range(len(words) - 34) if starts[tuple(words[a : a + 35])] > 1 for k in range(35)}
+    assert n > 20
+
+
+def longest_match_parse(words, others, window):
+    """Factors (start, length) by brute force: the longest match at the first place not passed, if it is long enough."""
+    out, i = [], 0
+    while i <= len(words) - window:
+        best = 0
+        for o in others:
+            for a in range(len(o) - window + 1):
+                k = 0
+                while i + k < len(words) and a + k < len(o) and words[i + k] == o[a + k]:
+                    k += 1
+                best = max(best, k)
+        if best >= window:
+            out.append((i, best))
+            i += best - window + 1
+        else:
+            i += 1
+    return out
+
+
+def test_factors_of_one_source_by_longest_match(spark):
+    rng = random.Random(8)
+    word = lambda n: [f"w{rng.getrandbits(30)}" for _ in range(n)]
+    source = word(400)
+    text = word(20) + source[50:130] + word(5) + source[300:340] + source[10:44] + word(9) + source[200:400]
+    got = {r.doc_id: r for r in substring_dedup(docs_of(spark, [(1, " ".join(source), "s"), (2, " ".join(text), "s")]), factors=True).collect()}
+    assert [(f.start, f.length) for f in got[2].factors] == longest_match_parse(text, [source], 35) == [(20, 80), (105, 40), (188, 200)]
+
+
 def test_phrases_hold_each_window_once():
     h = np.random.default_rng(1).integers(0, 5, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     first, count, _, _ = phrases(h, 35)
