@@ -78,6 +78,13 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 in SQL: its half bytes, the lower one first, are taken in one after the other."""
+    bit = lambda x: f"xor({x} >> 1, 3988292384 * ({x} & 1))"
+    halves = f"flatten(list_transform(range(1, strlen({text}) + 1), lambda i: [strpos('123456789ABCDEF', hexed[2 * i]), strpos('123456789ABCDEF', hexed[2 * i - 1])]::BIGINT[]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {halves}), lambda c, n: {bit(bit(bit(bit('xor(c, n)'))))}), 4294967295)"
+
+
 ORACLE = {
     "op1_substring_dedup": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -97,6 +104,14 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
 SELECT page_id, payload_bytes, payload_digest,
 CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to FROM m
+""",
+    "op4_sharding": f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, string_split(hex(encode(coalesce(text, ''))), '') AS hexed FROM documents),
+c AS (SELECT doc_id, CAST(strlen(t) + 16 AS BIGINT) AS size, {_crc32_sql("t")} AS text_crc32, CAST('0x' || substr(md5(t), 1, 15) AS BIGINT) AS h FROM t),
+o AS (SELECT *, row_number() OVER (ORDER BY text_crc32, h, doc_id NULLS FIRST) AS n FROM c),
+r AS (SELECT *, sum(size) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) AS run, sum(size) OVER () AS every FROM o),
+s AS (SELECT *, CAST(((2 * run - size) * 40) // (2 * every) AS INTEGER) AS shard FROM r)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY n) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """,
     "op9_mixing": r"""
 WITH d AS (SELECT doc_id, text, coalesce('a' || source, 'b') AS s, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),

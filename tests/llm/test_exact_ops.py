@@ -133,6 +133,8 @@ def test_shards_are_contiguous_near_equal_and_gapless(spark, odd):
     total, most = sum(sums.values()), max(r.size for r in rows)
     assert all(abs(sums[k] - total / 7) <= most for k in range(7))
     assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
+    ties = shard_by_bytes(docs_of(spark, [(None, "same", "s")] * 90 + [(4, "same", "s")] * 90), 9).collect()  # equal rows are cut like others
+    assert Counter(r.shard for r in ties) == dict.fromkeys(range(9), 20) and {r.doc_id for r in ties if r.shard < 4} == {None}
     assert shard_by_bytes(docs_of(spark, [])).count() == 0
 
 
