@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import FORMATS, LABELS, PRIVATE_VALUES, WEIGHTS, Options
-from .functions.naming import clean_name, is_pk_name, strip_table_prefix
+from .functions.naming import GENERIC_KEYS, ID_LIKE, clean_name, is_key_name, is_lookup_name, is_pk_name, name_signal, owns_key, strip_table_prefix, target_preference
 from .operators.dictionary import build_dictionary, dictionary_frame, markdown
 from .operators.erd import erd_frames, erd_model
 from .operators.keys import detect_keys
 from .operators.links import links_frame
-from .operators.order_stats import example_values, numeric_ranges
+from .operators.order_stats import example_values, numeric_ranges, time_ranges
 from .operators.privacy import review_queue
 from .operators.profile import column_stats, comparison_frame, length_medians, profile_frame, scan
 from .operators.profile import null_patterns as null_patterns_of
 from .operators.review import declared_link, scan_estimate
 from .operators.shared import shared_columns
 from .plans.discovery import Discovery, discover
-from .sinks.diagrams import dbml, elk_json, mermaid, network_frames
+from .sinks.diagrams import LINK_COLOURS, dbml, elk_json, mermaid, network_frames
 from .sinks.documents import data_dict_yaml, dbt_yaml, links_csv, table_details
 from .tables import TableSet, signatures
 
@@ -73,7 +75,7 @@ def format_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = stats[0]
     for s in stats[1:]:
         out = out.unionByName(s)
-    return out.where("kind <> 'datetime'").select("table", "column", "fingerprint")
+    return out.where("kind IS NOT NULL").select("table", "column", "fingerprint")
 
 
 def privacy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +93,10 @@ def numeric_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numeric_ranges(load(spark, sf_dir))
 
 
+def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return time_ranges(load(spark, sf_dir))
+
+
 def top_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return example_values(load(spark, sf_dir)).select("table", "column", "k", "txt", "num")
 
@@ -142,7 +148,8 @@ def fk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fk_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evidence of each link, a row a signal."""
     out = links_frame(spark, _known(spark, sf_dir).detected)
-    return out.select("from_table", "from_col", "to_table", "to_col", F.explode("signals").alias("signal", "strength"))
+    out = out.select("from_table", "from_col", "to_table", "to_col", F.explode("signals").alias("signal", "strength"))
+    return out.withColumn("strength", F.round("strength", 6))
 
 
 def self_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +201,7 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(
         [tuple(r) for r in table_details(known.scan, known.links(), known.keys)],
         "table string, table_rows bigint, table_cols bigint, column string, type string, non_null bigint, unique_vals bigint, is_pk boolean, is_fk boolean",
-    ).drop("type", "is_fk")
+    )
 
 
 def data_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,6 +236,7 @@ QUERIES = {
     "format_fingerprints": format_fingerprints,
     "privacy_values": privacy_values,
     "numeric_range": numeric_range,
+    "time_range": time_range,
     "top_examples": top_examples,
     "value_comparison": value_comparison,
     "key_candidates": key_candidates,
@@ -311,6 +319,12 @@ w AS (SELECT DISTINCT i + 1 AS k, CAST(round_even(1 + i * (n - 1) / greatest(lea
 SELECT '{t}' AS "table", '{c}' AS "column", CAST(w.k AS INTEGER) AS k, {shown} FROM r JOIN w ON r.p = w.p)"""
 
 
+def _clock(c: str, how: str) -> str:
+    """An aggregate of a time column, as text."""
+    at = f"make_timestamp(CAST(floor({how}(epoch_us({c}))) AS BIGINT))"
+    return f"CASE any_value(typeof({c})) WHEN 'DATE' THEN strftime({at}, '%Y-%m-%d') ELSE strftime({at}, '%Y-%m-%d %H:%M:%S') END"
+
+
 def _shared_sql() -> str:
     star = {"customer": "c", "supplier": "s", "nation": "n", "orders": "o", "lineitem": "l", "part": "p"}
     order = [t for t in TABLES if t in star]
@@ -331,14 +345,13 @@ SELECT from_table, to_table, "column", n_shared, n_distinct_from, n_distinct_to,
 FROM y WHERE n_distinct_from < n1 AND n_distinct_to < n2 AND m >= 3 AND n_shared / m::DOUBLE >= 0.3"""
 
 
-def _links_sql() -> str:
-    """All of candidate generation, signals, scores, veto and arbitration, with name signals as constants.
+def _links_sql(select: str, least: float = 0.0, more: str = "") -> str:
+    """All of candidate generation, signals, scores, veto and arbitration, with name signals as constants: `select` from
+    lk, the links whose first scores are `least` or more, and from further CTEs.
 
     Self-references, lookup names and empty tables don't occur here; unique key-named columns that their table doesn't own
     (one-to-one sources) are found by name. No NULL patterns.
     """
-    from .functions.naming import is_key_name, name_signal, owns_key, target_preference
-
     tables = list(TABLES)
     cols = ", ".join(
         f"({tables.index(t)}, '{t}', {[c for u, c, _ in COLUMNS if u == t].index(c)}, '{c}', '{k}', {str(is_key_name(clean_name(c))).lower()}, "
@@ -353,7 +366,7 @@ def _links_sql() -> str:
                 s = name_signal(c, u, d)
                 own = owns_key(clean_name(c), strip_table_prefix(u))
                 if s or own or target_preference(clean_name(d), clean_name(c)):
-                    signal = f"'{s.signal}'" if s else "NULL"
+                    signal = f"'{s.signal}', {s.strength!r}::DOUBLE" if s else "NULL, NULL"
                     names.append(f"('{t}', '{c}', '{u}', '{d}', {signal}, {target_preference(clean_name(d), clean_name(c))}, {str(own).lower()})")
     stats = _each(
         lambda t, c, k: f"SELECT '{t}' AS t, '{c}' AS c, count(*) AS n, count(*) - count({c}) AS nn, " + (f"median(length({c}))" if k == "s" else "NULL") + f" AS len FROM {t}"
@@ -364,7 +377,7 @@ def _links_sql() -> str:
     left = lambda c: f"(CASE {c} {weight} ELSE 1.0::DOUBLE END)"
     return f"""WITH {_compared()},
 cols(ti, t, ci, c, k, key_named, one) AS (VALUES {cols}),
-nm(t1, c1, t2, c2, sig, pref, own) AS (VALUES {', '.join(names)}),
+nm(t1, c1, t2, c2, sig, strength, pref, own) AS (VALUES {', '.join(names)}),
 st AS ({stats}),
 fp AS ({prints}),
 p AS (SELECT cols.*, st.n, st.nn, coalesce(own.nd, 0) AS nd, st.len, fp.fingerprint AS f, coalesce(own.nd, 0) = st.n AND st.nn = 0 AS u
@@ -373,7 +386,7 @@ q AS (SELECT *, u AND k <> 't' AND coalesce(len, 0) <= 60 AS target FROM p),
 r AS (SELECT *, NOT target AND nd > 0 AND NOT (nd <= 2 AND n > 10 AND NOT key_named) AND coalesce(len, 0) <= 80 AS refers, target AND one AS single,
  bool_or(target) OVER (PARTITION BY t) AS has_key FROM q),
 rk AS (SELECT t, row_number() OVER (ORDER BY max(n) DESC, t) AS place FROM p GROUP BY t),
-cand AS (SELECT a.t AS t1, a.c AS c1, a.single, a.k, b.t AS t2, b.c AS c2, b.ti AS ti2, b.ci AS ci2, a.nd AS nd1, b.nd AS nd2, a.f AS f1, b.f AS f2, ra.place AS p1, rb.place AS p2, nm.sig, coalesce(nm.pref, 0) AS pref,
+cand AS (SELECT a.t AS t1, a.c AS c1, a.single, a.k, b.t AS t2, b.c AS c2, b.ti AS ti2, b.ci AS ci2, a.nd AS nd1, b.nd AS nd2, a.f AS f1, b.f AS f2, ra.place AS p1, rb.place AS p2, nm.sig, nm.strength, coalesce(nm.pref, 0) AS pref,
  coalesce(w.n_shared, 0) AS n_shared, coalesce(w.n_shared, 0) / a.nd::DOUBLE AS ov, coalesce(w.dot / sqrt(oa.sq * ob.sq), 0) AS cosine
  FROM r a JOIN r b ON a.t <> b.t AND a.k = b.k AND (a.refers OR a.single) AND (CASE WHEN a.single THEN b.target AND b.c = a.c WHEN b.has_key THEN b.target ELSE b.refers END)
  JOIN rk ra ON ra.t = a.t JOIN rk rb ON rb.t = b.t
@@ -386,7 +399,7 @@ sig AS (SELECT *, CASE WHEN ov >= 0.98 THEN 'overlap_high' WHEN ov >= 0.8 THEN '
 sc AS (SELECT *, round(1 - {left('sig')} * {left('s_ov')} * {left('s_card')} * {left('s_fmt')} * {left('s_dist')} + 1e-12, 3) AS raw,
  coalesce(sig IN ('naming_exact', 'naming_role', 'naming_self'), false) AS strong FROM sig WHERE coalesce(sig, s_ov, s_card, s_fmt, s_dist) IS NOT NULL),
 tr AS (SELECT *, CASE WHEN raw >= 0.55 AND ov < 0.5 AND NOT strong THEN 0.54 ELSE raw END AS score FROM sc),
-best AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY t1, c1, t2 ORDER BY score DESC, pref DESC, ci2) = 1),
+best AS (SELECT * FROM (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY t1, c1, t2 ORDER BY score DESC, pref DESC, ci2) = 1) WHERE score >= {least}),
 par AS (SELECT * FROM best QUALIFY NOT single OR row_number() OVER (PARTITION BY t1, c1 ORDER BY score DESC, p2) = 1),
 lab AS (SELECT *, CASE (SELECT x FROM (VALUES (sig, 1), (s_ov, 2), (s_card, 3), (s_fmt, 4), (s_dist, 5)) v(x, o) WHERE x IS NOT NULL ORDER BY CASE x {weight} END, o LIMIT 1) {label} END AS detected_by,
  coalesce(s_card IS NOT NULL OR s_ov = 'overlap_high', false) AS fits, coalesce(sig IN ('name_identical', 'name_sim'), false) AS closes FROM par),
@@ -397,18 +410,110 @@ grp AS (SELECT *, count(*) OVER g AS size, bool_or(strong) OVER g AS any_strong,
 dem AS (SELECT *, CASE WHEN size < 2 THEN NULL WHEN any_strong THEN CASE WHEN NOT strong THEN 'name points to ' || strong_names END
  WHEN n_fits >= 2 AND fits AND n_close = 1 AND NOT closes THEN 'name is closest to ' || close_name
  WHEN n_fits >= 2 AND fits AND n_close <> 1 THEN 'ambiguous: values fit ' || n_fits || ' tables (' || fit_names || ')' END AS demoted FROM grp),
-fin AS (SELECT *, max(CASE WHEN demoted IS NULL THEN score END) OVER (PARTITION BY t1, c1) AS top FROM dem)
-SELECT t1 AS from_table, c1 AS from_col, t2 AS to_table, c2 AS to_col, detected_by,
+fin AS (SELECT *, max(CASE WHEN demoted IS NULL THEN score END) OVER (PARTITION BY t1, c1) AS top FROM dem),
+lk AS (SELECT t1 AS from_table, c1 AS from_col, t2 AS to_table, c2 AS to_col, detected_by,
 CASE WHEN demoted IS NOT NULL THEN 'low' WHEN score >= 0.85 THEN 'high' WHEN score >= 0.55 THEN 'medium' ELSE 'low' END AS confidence,
-round(CASE WHEN demoted IS NOT NULL THEN least(score, 0.54) * 0.9 + 1e-12 ELSE score END, 3) AS score, score AS base_score, demoted
-FROM fin WHERE demoted IS NOT NULL OR score >= top - 0.05"""
+round(CASE WHEN demoted IS NOT NULL THEN least(score, 0.54) * 0.9 + 1e-12 ELSE score END, 3) AS score, score AS base_score, demoted,
+sig, strength, s_ov, ov, s_card, s_fmt, s_dist, cosine
+FROM fin WHERE demoted IS NOT NULL OR score >= top - 0.05){more}
+{select}"""
+
+
+def _composite_sql(select: str) -> str:
+    """`select` from comp (t, cols): the first set of two, else three, columns of each table that tells all rows apart."""
+    stats = _each(lambda t, c, k: f"SELECT '{t}' AS t, '{c}' AS c, count(*) AS n, count(*) - count({c}) AS nn, count(DISTINCT {c}) AS nd, " + (f"median(length({c}))" if k == "s" else "NULL") + f" AS len FROM {t}")
+    sets, counts = [], []
+    for t in TABLES:
+        cols = sorted((c for u, c, k in COLUMNS if u == t and k != "-"), key=lambda c: not ID_LIKE.search(clean_name(c)))  # stable: ids first
+        some = [*combinations(cols, 2), *combinations(cols, 3)]
+        sets += [f"('{t}', {o}, '{x[0]}', '{x[1]}', {_q(x[2]) if len(x) > 2 else 'NULL'})" for o, x in enumerate(some, 1)]
+        counts.append(f"SELECT '{t}' AS t, count(*) AS n, [{', '.join(f'count(DISTINCT hash({", ".join(x)}))' for x in some)}]::BIGINT[] AS k FROM {t}")
+    return f"""WITH fs AS ({stats}), named(t, c) AS (VALUES {NAMED_KEYS}),
+fit AS (SELECT t, c, nd::DOUBLE AS nd, nn = 0 AND nd > 0 AND nd < n AND coalesce(len, 0) <= 80 AND n >= 2
+ AND t NOT IN (SELECT s.t FROM fs s JOIN named ON named.t = s.t AND named.c = s.c WHERE s.nn = 0 AND s.nd = s.n) AS ok FROM fs),
+sets(t, o, a, b, c) AS (VALUES {', '.join(sets)}),
+sizes AS ({" UNION ALL ".join(counts)}),
+comp AS (SELECT s.t, arg_min(list_filter([s.a, s.b, s.c], lambda x: x IS NOT NULL), s.o) AS cols FROM sets s JOIN sizes z ON z.t = s.t JOIN fit f ON f.t = s.t AND f.c = s.a JOIN fit g ON g.t = s.t AND g.c = s.b
+ LEFT JOIN fit h ON h.t = s.t AND h.c = s.c WHERE f.ok AND g.ok AND coalesce(h.ok, true) AND f.nd * g.nd * coalesce(h.nd, 1) >= z.n AND z.k[s.o] = z.n GROUP BY s.t)
+{select}"""
+
+
+def _erd_sql(select: str) -> str:
+    """`select` from the model of the links of the default confidence: em (links), cx (columns), areas (tables with roles)."""
+    truth = lambda x: str(bool(x)).lower()
+    facts = []
+    for t in TABLES:
+        for i, (c, k) in enumerate((c, k) for u, c, k in COLUMNS if u == t):
+            n = clean_name(c)
+            facts.append(f"('{t}', '{c}', {i}, '{k}', {truth(is_pk_name(n, strip_table_prefix(t)))}, {truth(n in GENERIC_KEYS)}, {truth(owns_key(n, t))}, {truth(is_key_name(n))})")
+    tables = ", ".join(f"('{t}', {len(x.split(', '))}, {truth(is_lookup_name(t))})" for t, x in TABLES.items())
+    kind = {
+        "n": "CASE WHEN coalesce(bool_and(CAST({0} AS DOUBLE) = floor(CAST({0} AS DOUBLE))), true) THEN 'int' ELSE 'float' END",
+        "t": "CASE any_value(typeof({0})) WHEN 'DATE' THEN 'date' ELSE 'datetime' END", "s": "'string'", "-": "'string'",
+    }
+    stats = _each(lambda t, c, k: f"SELECT '{t}' AS t, '{c}' AS c, count(*) AS n, count(*) - count({c}) AS nn, {'0' if k == '-' else f'count(DISTINCT {c})'} AS nd, {kind[k].format(c)} AS kind FROM {t}", "nts-")
+    more = f""",
+{_composite_sql("").removeprefix("WITH ").rstrip()},
+nf(t, c, i, k, pkn, generic, owns, keyn) AS (VALUES {', '.join(facts)}), tf(t, width, lookup) AS (VALUES {tables}),
+es AS ({stats}),
+cf AS (SELECT nf.*, es.n, es.nn, es.nd, es.kind, nf.k <> '-' AND es.n > 0 AND es.nn = 0 AND es.nd = es.n AS u, CASE WHEN generic THEN 3 WHEN owns THEN 2 WHEN keyn THEN 1 ELSE 0 END AS worth FROM nf JOIN es ON es.t = nf.t AND es.c = nf.c),
+nfk AS (SELECT from_table AS t, count(DISTINCT from_col) AS n FROM lk GROUP BY 1),
+one AS (SELECT * FROM cf WHERE u AND (kind IN ('int', 'string') OR generic OR keyn) QUALIFY row_number() OVER (PARTITION BY t ORDER BY worth DESC, pkn DESC, i) = 1),
+pk AS (SELECT tf.t, CASE WHEN one.c IS NULL OR (one.worth = 0 AND coalesce(nfk.n, 0) >= 2) THEN coalesce(comp.cols, []) ELSE [one.c] END AS cols
+ FROM tf LEFT JOIN one ON one.t = tf.t LEFT JOIN nfk ON nfk.t = tf.t LEFT JOIN comp ON comp.t = tf.t),
+em AS (SELECT lk.*, CASE WHEN a.u THEN 'one' ELSE 'many' END AS child_max, CASE WHEN a.nn > 0 THEN 'zero' ELSE 'one' END AS parent_min, list_contains(pk.cols, lk.from_col) AS identifying
+ FROM lk JOIN cf a ON a.t = lk.from_table AND a.c = lk.from_col JOIN pk ON pk.t = lk.from_table),
+rf AS (SELECT DISTINCT from_table AS t, from_col AS c FROM em),
+tg AS (SELECT DISTINCT to_table AS t, to_col AS c FROM em),
+cx AS (SELECT cf.*, list_contains(pk.cols, cf.c) AS is_pk, rf.c IS NOT NULL AS refers, tg.c IS NOT NULL AS targeted
+ FROM cf JOIN pk ON pk.t = cf.t LEFT JOIN rf ON rf.t = cf.t AND rf.c = cf.c LEFT JOIN tg ON tg.t = cf.t AND tg.c = cf.c),
+tx AS (SELECT t, any_value(n) AS n_rows, count(*) FILTER (WHERE refers) AS n_refer, count(*) FILTER (WHERE is_pk) AS n_pk, count(*) FILTER (WHERE is_pk AND NOT refers) AS n_own, count(*) FILTER (WHERE NOT is_pk AND NOT refers) AS n_plain FROM cx GROUP BY t),
+ends AS (SELECT from_table AS t FROM em UNION SELECT to_table FROM em),
+kids AS (SELECT to_table AS t, count(DISTINCT from_table) AS n FROM em WHERE from_table <> to_table GROUP BY 1),
+ups AS (SELECT from_table AS t, count(*) AS n FROM em WHERE from_table <> to_table GROUP BY 1),
+roles AS (SELECT tx.*, tf.lookup, tf.width, CASE WHEN n_refer >= 2 AND ((n_pk > 0 AND n_own = 0) OR n_plain = 0) THEN 'junction' WHEN lookup THEN 'lookup' WHEN ends.t IS NOT NULL THEN 'entity' ELSE 'orphan' END AS role,
+ coalesce(kids.n, 0) AS children, coalesce(ups.n, 0) AS parents FROM tx JOIN tf ON tf.t = tx.t LEFT JOIN ends ON ends.t = tx.t LEFT JOIN kids ON kids.t = tx.t LEFT JOIN ups ON ups.t = tx.t),
+beside AS (SELECT t, n_rows FROM roles WHERE role NOT IN ('lookup', 'orphan')),
+edge AS (SELECT from_table AS a, to_table AS b FROM em UNION SELECT to_table, from_table FROM em),
+reach(a, b) AS (SELECT t, t FROM beside UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b JOIN beside ON beside.t = edge.b),
+largest AS (SELECT reach.a AS t, beside.t AS area FROM reach JOIN beside ON beside.t = reach.b QUALIFY row_number() OVER (PARTITION BY reach.a ORDER BY beside.n_rows DESC, beside.t) = 1),
+areas AS (SELECT roles.*, CASE role WHEN 'lookup' THEN 'Lookups' WHEN 'orphan' THEN 'Unconnected' ELSE largest.area END AS area FROM roles LEFT JOIN largest ON largest.t = roles.t)"""
+    return _links_sql(select, 0.55, more).replace("WITH vc AS", "WITH RECURSIVE vc AS", 1)
 
 
 NAMED_KEYS = ", ".join(f"('{t}', '{c}')" for t, c, _ in COLUMNS if is_pk_name(clean_name(c), strip_table_prefix(t)))
 N_COLUMNS = len(COLUMNS)
+#: How types read here and there.
+SPARK_TYPES = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz", "TIMESTAMP WITH TIME ZONE": "timestamp", "DATE": "date", "FLOAT[]": "array<float>", "DOUBLE[]": "array<double>"}.items())
 
 ORACLE = {
-    "fk_links": _links_sql(),
+    "fk_links": _links_sql("SELECT from_table, from_col, to_table, to_col, detected_by, confidence, score, base_score, demoted FROM lk"),
+    "fk_evidence": _links_sql(
+        "\nUNION ALL ".join(
+            f"SELECT from_table, from_col, to_table, to_col, {signal} AS signal, round({strength}, 6) AS strength FROM lk WHERE {signal} IS NOT NULL"
+            for signal, strength in (("sig", "strength"), ("s_ov", "ov"), ("s_card", "1.0::DOUBLE"), ("s_fmt", "0.6::DOUBLE"), ("s_dist", "cosine"))
+        ),
+        0.55,
+    ),
+    "network_edges": _links_sql(
+        'SELECT from_table AS "from", to_table AS "to", from_col || \' \u2192 \' || to_col AS label, CASE detected_by '
+        + " ".join(f"WHEN '{d}' THEN '{colour}'" for d, colour in LINK_COLOURS.items())
+        + " ELSE '#94a3b8' END AS colour, CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS width, confidence = 'low' AS dashes, concat_ws('|', from_table, from_col, to_table, to_col) AS key FROM lk",
+        0.55,
+    ),
+    "erd_links": _erd_sql("SELECT from_table, from_col, to_table, to_col, child_max, 'zero' AS child_min, parent_min, identifying, false AS self_ref, 'inferred' AS provenance, confidence, score FROM em"),
+    "erd_columns": _erd_sql(
+        """SELECT t AS "table", c AS "column", CAST(row_number() OVER (PARTITION BY t ORDER BY is_pk DESC, i) - 1 AS INTEGER) AS place, kind AS type, nn > 0 AS nullable, u AS is_unique, is_pk AS pk,
+CASE WHEN refers THEN CAST(row_number() OVER (PARTITION BY t, refers ORDER BY i) AS INTEGER) END AS fk_index, u AND NOT is_pk AND (targeted OR keyn) AS uk FROM cx"""
+    ),
+    "erd_tables": _erd_sql(
+        """SELECT t AS "table", n_rows, role, children > 0 AND parents = 0 AND (lookup OR (n_rows <= 500 AND width <= 4) OR (children >= 3 AND width <= 6)) AS is_reference, area AS subject_area FROM areas"""
+    ),
+    "composite_keys": _composite_sql('SELECT t AS "table", CAST(unnest(range(len(cols))) AS INTEGER) AS place, unnest(cols) AS "column" FROM comp'),
+    "time_range": _each(
+        lambda t, c, k: f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", {', '.join(f'{_clock(c, e)} AS {n}' for e, n in (('min', 'min'), ('median', 'median'), ('max', 'max')))} FROM {t} HAVING count({c}) > 0",
+        "t",
+    ),
     "column_profile": _each(
         lambda t, c, k: f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_null, CAST(0 AS BIGINT) AS n_distinct, false AS is_unique, 0.0::DOUBLE AS count_norm FROM {t}"
         if k == "-"
@@ -416,7 +521,7 @@ ORACLE = {
         "nts-",
     ),
     "text_lengths": _each(lambda t, c, k: f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", min(length({c})) AS len_min, median(length({c})) AS len_median, max(length({c})) AS len_max FROM {t}", "s"),
-    "format_fingerprints": _each(_fingerprint, "ns"),
+    "format_fingerprints": _each(lambda t, c, k: _fingerprint(t, c, k) if k != "t" else f"SELECT '{t}', '{c}', CASE any_value(typeof({c})) WHEN 'DATE' THEN 'iso_date' ELSE 'iso_ts' END FROM {t}"),
     "privacy_values": _private_sql(),
     "numeric_range": _each(lambda t, c, k: f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS min, CAST(median({c}) AS DOUBLE) AS median, CAST(max({c}) AS DOUBLE) AS max FROM {t}", "n"),
     "top_examples": _each(_examples_sql),
@@ -443,12 +548,16 @@ e AS (SELECT *, 0.4::DOUBLE * total_cols * (n_tables - 1) * greatest(0.15::DOUBL
 f AS (SELECT *, p * CASE WHEN max_rows > 5000 THEN 20 WHEN max_rows > 500 THEN 5 ELSE 1 END / 1000.0::DOUBLE AS sec FROM e)
 SELECT n_tables, CAST(total_cols AS BIGINT) AS total_cols, total_rows, max_rows, round(p) AS est_pairs, round(sec, 1) AS est_time_sec,
 CASE WHEN p < 2000 OR sec < 5 THEN 'fast' WHEN p < 15000 OR sec < 30 THEN 'moderate' ELSE 'slow' END AS tier FROM f""",
-    "table_details": _each(
-        lambda t, c, k: f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM {t}) AS table_rows, CAST({len(TABLES[t].split(', '))} AS BIGINT) AS table_cols, '{c}' AS \"column\", (SELECT count({c}) FROM {t}) AS non_null, "
-        + ("CAST(0 AS BIGINT)" if k == "-" else f"(SELECT count(DISTINCT {c}) FROM {t})")
-        + " AS unique_vals, "
-        + ("true" if (t, c) in {(a, b) for a, b, _ in COLUMNS if is_pk_name(clean_name(b), strip_table_prefix(a))} else "false" if k == "-" else f"(SELECT count(*) > 0 AND count(DISTINCT {c}) = count(*) FROM {t})")
-        + " AS is_pk",
-        "nts-",
+    "table_details": _links_sql(
+        "SELECT d.*, f.c IS NOT NULL AS is_fk FROM dt d LEFT JOIN (SELECT DISTINCT from_table AS t, from_col AS c FROM lk) f ON f.t = d.\"table\" AND f.c = d.\"column\"",
+        0.55,
+        ",\ndt AS (" + _each(
+            lambda t, c, k: f"SELECT '{t}' AS \"table\", (SELECT count(*) FROM {t}) AS table_rows, CAST({len(TABLES[t].split(', '))} AS BIGINT) AS table_cols, '{c}' AS \"column\", (SELECT CASE any_value(typeof({c})) {SPARK_TYPES} END FROM {t}) AS type, (SELECT count({c}) FROM {t}) AS non_null, "
+            + ("CAST(0 AS BIGINT)" if k == "-" else f"(SELECT count(DISTINCT {c}) FROM {t})")
+            + " AS unique_vals, "
+            + ("true" if (t, c) in {(a, b) for a, b, _ in COLUMNS if is_pk_name(clean_name(b), strip_table_prefix(a))} else "false" if k == "-" else f"(SELECT count(*) > 0 AND count(DISTINCT {c}) = count(*) FROM {t})")
+            + " AS is_pk",
+            "nts-",
+        ) + ")",
     ),
 }
