@@ -23,6 +23,7 @@ TABLE_STAMP = re.compile(
     r"|_(final|draft|copy|bak|backup|old|new|tmp|temp|snapshot)"
     r")+$"
 )
+ENTITY_SUFFIX = re.compile(r"_(id|key|code|cd)$")
 LOOKUP_NAME = re.compile(r"^(tlk|tlu|lkp|lk|lu|lookup|ref|code|cd)_|_(lookup|lkp|lu|ref|codes|types)$")
 KEY_SUFFIX = re.compile(r"_(id|key|sk|fk|pk|code|cd|no|num|nbr|number|uuid|guid)$")
 KEY_PREFIX = re.compile(r"^(id|fk|key)_")
@@ -90,28 +91,26 @@ def strip_table_prefix(table: str) -> str:
     return short or table
 
 
+#: What a word's end becomes in the singular, and how long the word has to be; the first that holds counts.
+ENDINGS = [("ies", "y", 5), ("ss", "ss", 0), ("us", "us", 0), ("is", "is", 0), ("ses", "s", 0), ("xes", "x", 0), ("zes", "z", 0), ("ches", "ch", 0), ("shes", "sh", 0), ("s", "", 4)]
+
+
 def singular(name: str) -> str:
-    """The last word in the singular."""
-    head, sep, word = name.rpartition("_")
-    if word in IRREGULAR:
-        word = IRREGULAR[word]
-    elif word.endswith("ies") and len(word) > 4:
-        word = word[:-3] + "y"
-    elif word.endswith(("ss", "us", "is")):
-        pass
-    elif word.endswith(("ses", "xes", "zes", "ches", "shes")):
-        word = word[:-2]
-    elif word.endswith("s") and len(word) > 3:
-        word = word[:-1]
-    return head + sep + word
+    """Batch_boxes -> batch_box: the last word of a clean name in the singular."""
+    *before, last = name.split("_")
+    one = IRREGULAR.get(last)
+    if one is None:
+        one = next((last[: len(last) - len(end)] + new for end, new, least in ENDINGS if last.endswith(end) and len(last) >= least), last)
+    return "_".join([*before, one])
 
 
 @lru_cache(maxsize=100_000)
 def table_entity(table: str) -> str:
-    """What a table with this clean name is about: tlk_providers -> provider, visits_2024 -> visit."""
-    x = _without(TABLE_STAMP, strip_table_prefix(table))
-    x = _without(TABLE_SUFFIX, x)
-    return singular(_without(re.compile(r"_(id|key|code|cd)$"), x))
+    """What a clean table name is about, in the singular: dim_warehouses_2021 -> warehouse, ref_colour_code -> colour."""
+    name = strip_table_prefix(table)
+    for affix in (TABLE_STAMP, TABLE_SUFFIX, ENTITY_SUFFIX):
+        name = _without(affix, name)
+    return singular(name)
 
 
 class KeyEntity(NamedTuple):
@@ -122,14 +121,12 @@ class KeyEntity(NamedTuple):
 
 @lru_cache(maxsize=100_000)
 def key_entities(column: str) -> tuple[KeyEntity, ...]:
-    """What a key column may point at, longest first: referring_provider_id -> referring_provider, then provider in a role."""
-    stem = KEY_SUFFIX.sub("", column)
-    if stem == column:
-        stem = KEY_PREFIX.sub("", column)
-    words = [w for w in stem.split("_") if w]
-    if stem == column or not words:
-        return ()
-    return tuple(KeyEntity(singular("_".join(words[i:])), i > 0, len(words) - i) for i in range(len(words)))
+    """What a clean key column may point at: all words of its stem, then ever fewer of the last ones, which then stand in a
+    role. old_stock_clerk_id -> old_stock_clerk; stock_clerk and clerk in a role. Nothing for other columns."""
+    affix = next((a for a in (KEY_SUFFIX, KEY_PREFIX) if a.search(column)), None)
+    words = [w for w in affix.sub("", column).split("_") if w] if affix else []
+    tails = [words[len(words) - n :] for n in range(len(words), 0, -1)]
+    return tuple(KeyEntity(singular("_".join(tail)), len(tail) < len(words), len(tail)) for tail in tails)
 
 
 @lru_cache(maxsize=500_000)
@@ -156,9 +153,10 @@ def owns_key(column: str, table: str) -> bool:
 
 
 def is_pk_name(column: str, table: str) -> bool:
-    if column == "id" or column == f"{table}_id" or owns_key(column, table):
-        return True
-    return column.endswith("_id") and table.startswith(column[:-3])
+    """A clean column named like the key of a table (without its prefix): id, the table's own key, or the key of what the
+    table's name begins with, such as invoice_id in invoice_lines."""
+    own = column in ("id", f"{table}_id") or owns_key(column, table)
+    return own or (column.endswith("_id") and table.startswith(column.removesuffix("_id")))
 
 
 def is_lookup_name(table: str) -> bool:

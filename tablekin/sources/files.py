@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import zipfile
 from collections.abc import Callable
@@ -30,9 +29,19 @@ class Loaded:
     notices: list[str] = field(default_factory=list)
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Types are inferred over all rows; NA is null; in text columns an empty field is an empty text, not null."""
-    how = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"')
+def breaks_in_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field goes over lines: then, and only then, a line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", multi_line: bool | None = None) -> DataFrame:
+    """Types are inferred over all rows; NA is null; in text columns an empty field is an empty text, not null.
+
+    Files are split among tasks unless a quoted field goes over lines; `multi_line` says so if it is known.
+    """
+    whole = breaks_in_quotes(spark, path) if multi_line is None else multi_line
+    how = spark.read.option("header", True).option("sep", sep).option("multiLine", whole).option("escape", '"')
     typed = how.option("inferSchema", True).option("nullValue", "NA").csv(path)
     if not any(isinstance(f.dataType, T.StringType) for f in typed.schema):
         return typed
@@ -221,9 +230,9 @@ def _unsupported(what: str):
 
 
 READERS: dict[str, Callable[..., Loaded]] = {
-    "csv": lambda spark, path, stem, **_: Loaded({stem: read_delimited(spark, path)}),
-    "tsv": lambda spark, path, stem, **_: Loaded({stem: read_delimited(spark, path, "\t")}),
-    "txt": lambda spark, path, stem, **_: Loaded({stem: read_delimited(spark, path, "\t")}),
+    "csv": lambda spark, path, stem, multi_line=None, **_: Loaded({stem: read_delimited(spark, path, ",", multi_line)}),
+    "tsv": lambda spark, path, stem, multi_line=None, **_: Loaded({stem: read_delimited(spark, path, "\t", multi_line)}),
+    "txt": lambda spark, path, stem, multi_line=None, **_: Loaded({stem: read_delimited(spark, path, "\t", multi_line)}),
     "parquet": lambda spark, path, stem, **_: Loaded({stem: spark.read.parquet(path)}),
     "json": lambda spark, path, stem, **_: Loaded(read_json(spark, path, stem)),
     "ndjson": lambda spark, path, stem, **_: Loaded({stem: flattened(spark.read.json(path))}),
@@ -246,7 +255,8 @@ READERS: dict[str, Callable[..., Loaded]] = {
 
 
 def read_tables(spark: SparkSession, path: str, name: str | None = None, **how) -> Loaded:
-    """The tables of a file by its extension. `types` (sample, all, text) is how workbooks are typed."""
+    """The tables of a file by its extension. `types` (sample, all, text) is how workbooks are typed; `multi_line` says
+    whether quoted fields of delimited files go over lines."""
     from ..sinks.documents import own_export
 
     place = PurePosixPath(name or path)
@@ -263,6 +273,3 @@ def read_tables(spark: SparkSession, path: str, name: str | None = None, **how)
             del out.tables[t]
     return out
 
-
-def read_manifest(text: str) -> dict:
-    return json.loads(text)

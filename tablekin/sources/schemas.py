@@ -119,18 +119,18 @@ def parse_data_dict(spark: SparkSession, doc: dict) -> Declared:
             left, right = right, left
         out.links.append(declared_link(*left, *right, reason="declared in data-dict"))
     if skipped:
-        out.notices.append(f"{skipped} data-dict relationship(s) skipped: only joins of the form a.x = b.y are read.")
+        out.notices.append(f"{skipped} join(s) left out: a join has to equate one column with another, as in a.x = b.y")
     carried = 0
     for block in (v for k, v in doc.items() if str(k).startswith("x-") and isinstance(v, dict)):
         for c in block.get("candidate_relationships") or ():
             if any(c.get(f) is None for f in ("from_table", "from_col", "to_table", "to_col")):
                 continue
             carried += 1
-            why = ["candidate carried through a data-dict round trip", *([text(c["evidence"])] if c.get("evidence") else [])]
+            why = ["was a candidate when the document was written", *([text(c["evidence"])] if c.get("evidence") else [])]
             score = c.get("score")
             out.links.append(
                 Link(*(text(c[f]) for f in ("from_table", "from_col", "to_table", "to_col")), text(c.get("detected_by") or "import"), text(c.get("confidence") or "low"), None if score is None else float(score), {}, tuple(why), origin=EXTENSION)
             )
     if carried:
-        out.notices.append(f"{carried} candidate link(s) read back from this file: still to review, not declared.")
+        out.notices.append(f"{carried} link(s) of the document were candidates; they come back for review, not as declared")
     return out

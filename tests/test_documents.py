@@ -231,7 +231,7 @@ def test_schema_documents(spark):
         assert got.tables["customers"].schema["customer_id"].dataType.simpleString() == "bigint"
     assert parse_schema(spark, "{", "s.json").notices and parse_schema(spark, "", "s.txt").notices and parse_schema(spark, "[]", "s.json").notices
     joined = parse_schema(spark, '{"$version": "0.1.0", "tables": [], "relationships": [{"join": "a.x = b.y", "cardinality": "one-to-many"}, {"join": "f(a) = b"}]}', "d.json")
-    assert joined.links[0].key == "b|y|a|x" and "1 data-dict" in joined.notices[0]
+    assert joined.links[0].key == "b|y|a|x" and "1 join" in joined.notices[0]
 
 
 def test_text_files(spark, tmp_path):
@@ -298,7 +298,7 @@ def test_statistical_files(spark, tmp_path):
 def test_access_relationships(spark):
     rows = [("r1", 2, 0, "tbl Orders", "CustomerID", "tbl Customers", "CustomerID"), ("r2", 1, 0, "A", "x", "B", "y"), ("r3", None, 0, "MSysX", "x", "B", "y")]
     a, b = access_links(frame(spark, "szRelationship string, grbit int, icolumn int, szObject string, szColumn string, szReferencedObject string, szReferencedColumn string", rows))
-    assert a.key == "tbl_orders|customer_id|tbl_customers|customer_id" and "not enforced" in a.reasons[0] and b.one_to_one and "integrity enforced" in b.reasons[0]
+    assert a.key == "tbl_orders|customer_id|tbl_customers|customer_id" and "without referential" in a.reasons[0] and b.one_to_one and "with referential" in b.reasons[0]
 
 
 def test_database_queries(spark):
@@ -361,3 +361,31 @@ def test_registered_queries_have_names_that_match():
 
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(o) <= set(q) and len(q) > 20 and discover({}).detected == []
+
+
+def test_delimited_files_are_split_unless_quotes_hold_line_breaks(spark, tmp_path):
+    from tablekin.sources.files import breaks_in_quotes, read_delimited
+
+    (tmp_path / "plain.csv").write_text('a,b\n1,"x, ""y"""\n2,\n')
+    (tmp_path / "broken.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    plain, broken = f"file://{tmp_path}/plain.csv", f"file://{tmp_path}/broken.csv"
+    assert not breaks_in_quotes(spark, plain) and breaks_in_quotes(spark, broken)
+    assert [tuple(r) for r in read_delimited(spark, plain).collect()] == [(1, 'x, "y"'), (2, "")]
+    assert [tuple(r) for r in read_delimited(spark, broken).collect()] == [(1, "x\ny"), (2, "z")]
+    assert read_delimited(spark, broken, multi_line=False).count() == 3
+
+
+def test_access_through_export_programs(spark, tmp_path, monkeypatch):
+    from tablekin.sources.access import read_access
+
+    relations = "szObject,szColumn,szReferencedObject,szReferencedColumn,grbit\\nvisits,who,people,id,0\\n"
+    (tmp_path / "mdb-tables").write_text("#!/bin/sh\nprintf 'people\\nvisits\\nMSysObjects\\nbad\\n'\n")
+    (tmp_path / "mdb-export").write_text(
+        f'#!/bin/sh\ncase "$6" in\npeople) printf "id,name\\n1,Ann\\n2,Bo\\n";;\nvisits) printf "who,day\\n1,2024-01-02\\n";;\nMSysRelationships) printf "{relations}";;\n*) echo no >&2; exit 1;;\nesac\n'
+    )
+    for f in ("mdb-tables", "mdb-export"):
+        (tmp_path / f).chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:/usr/bin:/bin")
+    tables, links, notices = read_access(spark, "file:///there/is/none.mdb")
+    assert sorted(tables) == ["people", "visits"] and tables["people"].count() == 2 and str(tables["visits"].collect()[0].day) == "2024-01-02"
+    assert [(k.from_table, k.from_col, k.to_table, k.to_col) for k in links] == [("visits", "who", "people", "id")] and len(notices) == 1

@@ -38,7 +38,7 @@ def test_table_entity(table, entity):
     ("column", "table", "lookup", "match"),
     [
         ("provider_id", "providers", False, "exact"), ("referring_provider_id", "tlk_providers", True, "role"), ("referring_provider_id", "providers", False, None),
-        ("trax_enrollment_status_id", "enrollment_status", False, "role"), ("id_customer", "customers", False, "exact"), ("state_code", "states", False, "exact"),
+        ("old_stock_clerk_id", "stock_clerks", False, "role"), ("id_customer", "customers", False, "exact"), ("state_code", "states", False, "exact"),
         ("order_id", "order_items", False, None), ("amount", "customers", False, None),
     ],
 )
