@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablekin.llm._common import WordHashes
+from tablekin.llm._common import WordHashes, written
 from tablekin.llm.ann import ListIndex, brute_force, nearest_neighbours
 from tablekin.llm.components import connected_components
 from tablekin.llm.language_id import ByteGRU, Windows, identify_languages, predict_language, train_language_id
@@ -310,3 +310,37 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(ids(after)) <= set(ids(before)) and max(ids(after).values()) <= 2
     before, after = at["packing"]
     assert ids(after.where("start = 0")) == ids(before)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, _lang_score double, _row int, component long"
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, ties and clashing names, through all stages."""
+    rng = random.Random(6)
+    words = {k: ["".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(400)] for k, letters in (("en", "etaoinshr"), ("de", "äöüßchzwk"))}
+    text = lambda k, n: " ".join(rng.choices(words[k], k=n))
+    rows = [(i, text(k := ("en", "de")[i % 2], 60), k, f"s{i % 3}") for i in range(60)]
+    base = rows[0][1].split()
+    odd = [(100, None, None, None), (101, "", "en", "s0"), (102, "12 34", "en", None), (None, text("en", 50), None, None), (None, text("de", 50), None, None), rows[2], rows[2], rows[2]]
+    odd += [(103, text("en", 30_000), "en", "s1"), (104, " ".join([*base[:30], "changed", *base[31:]]), "en", "s0"), (105, "x" * 200_000 + " the", None, "s2")]
+    make = lambda rows: spark.createDataFrame([(*r, len(r[1] or ""), None, 0.5, 1, 2) for r in rows], ODD)
+    now = make(rows + odd)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, now = now, written(stage(spark, now, SF), name)
+        assert now.columns == before.columns
+        got = [r.asDict() for r in now.collect()]
+        if name == "language_id":
+            assert {r["doc_id"] for r in got}.isdisjoint({100, 101, 102}) and all(r["lang"] for r in got) and sum(r["doc_id"] == 2 for r in got) == 4
+        if name == "near_duplicates":
+            assert sum(r["doc_id"] == 2 for r in got) == 1 and sum(r["doc_id"] is None for r in got) == 2 and {0, 103, 105} <= {r["doc_id"] for r in got} and 104 not in {r["doc_id"] for r in got}
+        if name == "substring_dedup":
+            assert all(r["n_chars"] == len(r["text"]) for r in got)
+        assert all(r["_lang_score"] == 0.5 and r["_row"] == 1 and r["component"] == 2 for r in got)
+    packed = corpus_pipeline.packing_stage(spark, now, SF).collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r["doc_id"] for r in got)
+    empty = make([])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+    unlabelled = make([(1, "some words", None, None), (1, "some words", None, None)])
+    assert corpus_pipeline.language_stage(spark, unlabelled, SF).count() == 0
