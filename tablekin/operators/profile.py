@@ -197,13 +197,17 @@ def own_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def pair_counts(counts: DataFrame) -> DataFrame:
-    """From value_counts(): (a, b, n_shared, dot, rows_a, rows_b, content) for column numbers a <= b with a value in common.
+def pair_counts(counts: DataFrame, groups: list[int] | None = None) -> DataFrame:
+    """From value_counts(): (a, b, n_shared, dot, rows_a, rows_b, content) for column numbers a <= b with a value in common;
+    if each column's group is given, within groups only.
 
     dot sums the products of counts; rows_a and rows_b sum the rows of the shared values. For a = b these are what
     own_counts() gives.
     """
-    held = counts.groupBy("v", "w").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("x"))
+    keys = ["v", "w"]
+    if groups is not None:
+        counts, keys = counts.withColumn("g", F.element_at(F.array(*map(F.lit, groups)), F.col("c") + 1)), ["v", "w", "g"]
+    held = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("x"))
     one = held.select(F.explode("x").alias("a"), "x", "v", "w")
     both = one.select("a", "v", "w", F.explode(F.filter("x", lambda y: y["c"] >= F.col("a.c"))).alias("b"))
     n, m = F.col("a.n").cast("double"), F.col("b.n").cast("double")
@@ -277,6 +281,11 @@ class Scan:
     def shared(self, a: tuple[str, str], b: tuple[str, str]) -> Shared:
         return self.pairs.get((a, b)) or Shared()
 
+    def add_pair(self, a: tuple[str, str], b: tuple[str, str], r) -> None:
+        """From a row of pair_counts()."""
+        self.pairs[a, b] = Shared(r.n_shared, r.dot, r.rows_a)
+        self.pairs[b, a] = Shared(r.n_shared, r.dot, r.rows_b)
+
     def overlap(self, a: tuple[str, str], b: tuple[str, str]) -> float:
         """The share of a's distinct values that b has."""
         n = self.profiles[a].n_distinct
@@ -315,8 +324,7 @@ def scan(tables: Mapping[str, DataFrame], content: bool = True, keep: Scan | Non
         if r.a == r.b:
             out.profiles[a].n_distinct, out.profiles[a].square, out.profiles[a].content = r.n_shared, r.dot, r.content
         else:
-            out.pairs[a, b] = Shared(r.n_shared, r.dot, r.rows_a)
-            out.pairs[b, a] = Shared(r.n_shared, r.dot, r.rows_b)
+            out.add_pair(a, b, r)
     return out
 
 

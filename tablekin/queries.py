@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .config import FORMATS, LABELS, PRIVATE_VALUES, WEIGHTS, Options
 from .functions.naming import GENERIC_KEYS, ID_LIKE, clean_name, is_key_name, is_lookup_name, is_pk_name, name_signal, owns_key, strip_table_prefix, target_preference
-from .operators.dictionary import build_dictionary, dictionary_frame, markdown
+from .functions.private import private_name
+from .operators.dictionary import FORMAT_NAMES, build_dictionary, dictionary_frame, markdown
 from .operators.erd import erd_frames, erd_model
 from .operators.keys import detect_keys
 from .operators.links import links_frame
@@ -18,7 +19,7 @@ from .operators.privacy import review_queue
 from .operators.profile import column_stats, comparison_frame, length_medians, profile_frame, scan
 from .operators.profile import null_patterns as null_patterns_of
 from .operators.review import declared_link, scan_estimate
-from .operators.shared import shared_columns
+from .operators.shared import shared_columns, shared_scan
 from .plans.discovery import Discovery, discover
 from .sinks.diagrams import LINK_COLOURS, dbml, elk_json, mermaid, network_frames
 from .sinks.documents import data_dict_yaml, dbt_yaml, links_csv, table_details
@@ -123,7 +124,7 @@ def composite_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over the star schema with the prefixes of its column names taken off, so that names meet."""
     star = {t: df.toDF(*[c.split("_", 1)[1] for c in df.columns]) for t, df in load(spark, sf_dir).items() if t in ("customer", "supplier", "nation", "orders", "lineitem", "part")}
-    rows = shared_columns(scan(star), 0.3)
+    rows = shared_columns(shared_scan(star), 0.3)
     return spark.createDataFrame(
         [(k.from_table, k.to_table, k.column, k.n_shared, k.n_distinct_from, k.n_distinct_to, round(k.overlap, 6), k.contained) for k in rows],
         "from_table string, to_table string, column string, n_shared bigint, n_distinct_from bigint, n_distinct_to bigint, overlap double, contained boolean",
@@ -438,8 +439,9 @@ comp AS (SELECT s.t, arg_min(list_filter([s.a, s.b, s.c], lambda x: x IS NOT NUL
 {select}"""
 
 
-def _erd_sql(select: str) -> str:
-    """`select` from the model of the links of the default confidence: em (links), cx (columns), areas (tables with roles)."""
+def _erd_sql(select: str, where: str = "", further: str = "") -> str:
+    """`select` from the model of the links of the default confidence, or of some of them: em (links), cx (columns), areas
+    (tables with roles), and further CTEs."""
     truth = lambda x: str(bool(x)).lower()
     facts = []
     for t in TABLES:
@@ -453,16 +455,17 @@ def _erd_sql(select: str) -> str:
     }
     stats = _each(lambda t, c, k: f"SELECT '{t}' AS t, '{c}' AS c, count(*) AS n, count(*) - count({c}) AS nn, {'0' if k == '-' else f'count(DISTINCT {c})'} AS nd, {kind[k].format(c)} AS kind FROM {t}", "nts-")
     more = f""",
+lm AS (SELECT * FROM lk {where}),
 {_composite_sql("").removeprefix("WITH ").rstrip()},
 nf(t, c, i, k, pkn, generic, owns, keyn) AS (VALUES {', '.join(facts)}), tf(t, width, lookup) AS (VALUES {tables}),
 es AS ({stats}),
 cf AS (SELECT nf.*, es.n, es.nn, es.nd, es.kind, nf.k <> '-' AND es.n > 0 AND es.nn = 0 AND es.nd = es.n AS u, CASE WHEN generic THEN 3 WHEN owns THEN 2 WHEN keyn THEN 1 ELSE 0 END AS worth FROM nf JOIN es ON es.t = nf.t AND es.c = nf.c),
-nfk AS (SELECT from_table AS t, count(DISTINCT from_col) AS n FROM lk GROUP BY 1),
+nfk AS (SELECT from_table AS t, count(DISTINCT from_col) AS n FROM lm GROUP BY 1),
 one AS (SELECT * FROM cf WHERE u AND (kind IN ('int', 'string') OR generic OR keyn) QUALIFY row_number() OVER (PARTITION BY t ORDER BY worth DESC, pkn DESC, i) = 1),
 pk AS (SELECT tf.t, CASE WHEN one.c IS NULL OR (one.worth = 0 AND coalesce(nfk.n, 0) >= 2) THEN coalesce(comp.cols, []) ELSE [one.c] END AS cols
  FROM tf LEFT JOIN one ON one.t = tf.t LEFT JOIN nfk ON nfk.t = tf.t LEFT JOIN comp ON comp.t = tf.t),
-em AS (SELECT lk.*, CASE WHEN a.u THEN 'one' ELSE 'many' END AS child_max, CASE WHEN a.nn > 0 THEN 'zero' ELSE 'one' END AS parent_min, list_contains(pk.cols, lk.from_col) AS identifying
- FROM lk JOIN cf a ON a.t = lk.from_table AND a.c = lk.from_col JOIN pk ON pk.t = lk.from_table),
+em AS (SELECT lm.*, CASE WHEN a.u THEN 'one' ELSE 'many' END AS child_max, CASE WHEN a.nn > 0 THEN 'zero' ELSE 'one' END AS parent_min, list_contains(pk.cols, lm.from_col) AS identifying
+ FROM lm JOIN cf a ON a.t = lm.from_table AND a.c = lm.from_col JOIN pk ON pk.t = lm.from_table),
 rf AS (SELECT DISTINCT from_table AS t, from_col AS c FROM em),
 tg AS (SELECT DISTINCT to_table AS t, to_col AS c FROM em),
 cx AS (SELECT cf.*, list_contains(pk.cols, cf.c) AS is_pk, rf.c IS NOT NULL AS refers, tg.c IS NOT NULL AS targeted
@@ -477,10 +480,53 @@ beside AS (SELECT t, n_rows FROM roles WHERE role NOT IN ('lookup', 'orphan')),
 edge AS (SELECT from_table AS a, to_table AS b FROM em UNION SELECT to_table, from_table FROM em),
 reach(a, b) AS (SELECT t, t FROM beside UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b JOIN beside ON beside.t = edge.b),
 largest AS (SELECT reach.a AS t, beside.t AS area FROM reach JOIN beside ON beside.t = reach.b QUALIFY row_number() OVER (PARTITION BY reach.a ORDER BY beside.n_rows DESC, beside.t) = 1),
-areas AS (SELECT roles.*, CASE role WHEN 'lookup' THEN 'Lookups' WHEN 'orphan' THEN 'Unconnected' ELSE largest.area END AS area FROM roles LEFT JOIN largest ON largest.t = roles.t)"""
+areas AS (SELECT roles.*, CASE role WHEN 'lookup' THEN 'Lookups' WHEN 'orphan' THEN 'Unconnected' ELSE largest.area END AS area FROM roles LEFT JOIN largest ON largest.t = roles.t){further}"""
     return _links_sql(select, 0.55, more).replace("WITH vc AS", "WITH RECURSIVE vc AS", 1)
 
 
+def _reason_sql(t: str, c: str, k: str) -> str:
+    """Why a column looks personal; by its name as a constant, else by its values."""
+    if by_name := private_name(c):
+        reason = _q(by_name)
+    elif k == "s":
+        share = lambda p: f"avg(CASE WHEN regexp_matches(trim({c}), {_q(p)}) THEN 1.0 ELSE 0 END) FILTER (WHERE trim({c}) <> '')"
+        reason = "CASE " + " ".join(f"WHEN {share(p)} >= 0.8 THEN CAST(CAST(round(100 * {share(p)}) AS INT) AS VARCHAR) || '% of values look like {w}'" for w, p in PRIVATE_VALUES) + " END"
+    else:
+        reason = "CAST(NULL AS VARCHAR)"
+    return f"SELECT '{t}' AS t, '{c}' AS c, {reason} AS reason, count({c}) AS n_values FROM {t}"
+
+
+def _dictionary_sql() -> str:
+    number = lambda x: f"rtrim(rtrim(printf('%.10f', CAST(format('{{:.6g}}', CAST({x} AS DOUBLE)) AS DOUBLE)), '0'), '.')"
+
+    def spans(t: str, c: str, k: str) -> str:
+        texts = [number(f"{how}({c})") if k == "n" else _clock(c, how) if k == "t" else "''" for how in ("min", "median", "max")]
+        sizes = [f"CAST(min(length({c})) AS INTEGER)", f"median(length({c}))", f"CAST(max(length({c})) AS INTEGER)"] if k == "s" else ["CAST(NULL AS INTEGER)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS INTEGER)"]
+        named = [*zip(("lo", "mid", "hi"), texts, strict=True), *zip(("len_min", "len_median", "len_max"), sizes, strict=True)]
+        return f"SELECT '{t}' AS t, '{c}' AS c, count(*) AS n, {', '.join(f'coalesce({x}, \'\') AS {n}' if n in ('lo', 'mid', 'hi') else f'{x} AS {n}' for n, x in named)} FROM {t}"
+
+    formats = " ".join(f"WHEN '{f}' THEN '{name}'" for f, name in FORMAT_NAMES.items())
+    further = f""",
+sp AS ({_each(spans, "nts-")}),
+rs AS ({_each(_reason_sql, "nts-")}),
+ex AS (SELECT "table" AS t, "column" AS c, string_agg(CASE WHEN num IS NULL THEN txt WHEN num = floor(num) THEN CAST(CAST(num AS BIGINT) AS VARCHAR) ELSE CAST(num AS VARCHAR) END, ', ' ORDER BY k) AS shown
+ FROM ({_each(_examples_sql, "ns")}) GROUP BY 1, 2),
+re AS (SELECT from_table AS t, from_col AS c, string_agg(to_table || '.' || to_col, '; ' ORDER BY to_table) AS refer, string_agg('detected', '; ') AS source FROM em GROUP BY 1, 2),
+dc AS (SELECT cx.*, CASE WHEN refers THEN row_number() OVER (PARTITION BY cx.t, refers ORDER BY i) END AS fk FROM cx)"""
+    return _erd_sql(
+        f"""SELECT dc.t AS "table", '' AS table_description, dc.c AS "column", CAST(dc.i + 1 AS INTEGER) AS position, dc.kind AS type,
+CASE WHEN dc.k = 't' THEN dc.kind WHEN dc.k = 'n' THEN CASE WHEN dc.nd = 0 THEN 'number' WHEN dc.kind = 'int' THEN 'whole number' ELSE 'decimal' END ELSE CASE fp.fingerprint {formats} ELSE 'text' END END AS format,
+dc.nn > 0 AS nullable, round(100.0::DOUBLE * dc.nn / dc.n, 1) AS pct_missing, CASE WHEN dc.k <> '-' THEN dc.nd END AS n_unique, sp.len_min, sp.len_median, sp.len_max,
+CASE WHEN rs.reason IS NOT NULL AND sp.lo <> '' THEN 'hidden' ELSE sp.lo END AS min, CASE WHEN rs.reason IS NOT NULL AND sp.lo <> '' THEN 'hidden' ELSE sp.mid END AS median, CASE WHEN rs.reason IS NOT NULL AND sp.lo <> '' THEN 'hidden' ELSE sp.hi END AS max,
+concat_ws(', ', CASE WHEN dc.is_pk THEN 'PK' END, 'FK' || dc.fk, CASE WHEN dc.u AND NOT dc.is_pk AND (dc.targeted OR dc.keyn) THEN 'UK' END) AS keys, coalesce(re.refer, '') AS "references", coalesce(re.source, '') AS reference_source,
+rs.reason IS NOT NULL AS private, CASE WHEN rs.reason IS NOT NULL THEN 'auto_unreviewed' ELSE 'none' END AS privacy_status, coalesce(rs.reason, '') AS privacy_reason,
+CASE WHEN rs.reason IS NULL THEN coalesce(ex.shown, '') ELSE '' END AS examples, CASE WHEN rs.reason IS NULL THEN '' ELSE 'private' END AS examples_note, '' AS label, '' AS description, '' AS units, '' AS "values", '' AS details
+FROM dc JOIN sp ON sp.t = dc.t AND sp.c = dc.c JOIN rs ON rs.t = dc.t AND rs.c = dc.c LEFT JOIN ex ON ex.t = dc.t AND ex.c = dc.c LEFT JOIN re ON re.t = dc.t AND re.c = dc.c LEFT JOIN fp ON fp."table" = dc.t AND fp."column" = dc.c""",
+        "WHERE confidence <> 'low'",
+        further,
+    )
+
+
 NAMED_KEYS = ", ".join(f"('{t}', '{c}')" for t, c, _ in COLUMNS if is_pk_name(clean_name(c), strip_table_prefix(t)))
 N_COLUMNS = len(COLUMNS)
 #: How types read here and there.
@@ -509,6 +555,8 @@ CASE WHEN refers THEN CAST(row_number() OVER (PARTITION BY t, refers ORDER BY i)
     "erd_tables": _erd_sql(
         """SELECT t AS "table", n_rows, role, children > 0 AND parents = 0 AND (lookup OR (n_rows <= 500 AND width <= 4) OR (children >= 3 AND width <= 6)) AS is_reference, area AS subject_area FROM areas"""
     ),
+    "data_dictionary": _dictionary_sql(),
+    "privacy_queue": f"SELECT t AS \"table\", c AS \"column\", reason, n_values FROM ({_each(_reason_sql, 'nts-')}) WHERE reason IS NOT NULL",
     "composite_keys": _composite_sql('SELECT t AS "table", CAST(unnest(range(len(cols))) AS INTEGER) AS place, unnest(cols) AS "column" FROM comp'),
     "time_range": _each(
         lambda t, c, k: f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", {', '.join(f'{_clock(c, e)} AS {n}' for e, n in (('min', 'min'), ('median', 'median'), ('max', 'max')))} FROM {t} HAVING count({c}) > 0",
