@@ -142,7 +142,8 @@ def introspect(db: Database, run: Callable[[str], DataFrame]) -> Introspection:
 
 
 def load_tables(db: Database, names: list[str], run: Callable[[str], DataFrame], limit: float = 10_000, keep_empty: bool = True) -> tuple[TableSet, list[str]]:
-    """Tables by name; one that can't be read with its schema is tried without. What fails is said, by its first error."""
+    """Tables by name; one that can't be read with its schema is tried without. What fails is said, by its first error, and
+    so is a table that has as many rows as the limit."""
     out, notices = TableSet(), []
     for n in names:
         first = None
@@ -151,6 +152,8 @@ def load_tables(db: Database, names: list[str], run: Callable[[str], DataFrame],
                 df = run(row_limit_query(db, n, limit, with_schema))
                 if keep_empty or limit == 0 or not df.isEmpty():
                     out.add(n, df, source=db.database)
+                if 0 < limit < float("inf") and df.count() >= limit:
+                    notices.append(f"{n}: only {int(limit):,} rows are read, as the limit says; it may have more")
                 break
             except Exception as e:
                 first = first or str(e).splitlines()[0][:200]
