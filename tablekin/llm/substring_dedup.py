@@ -222,7 +222,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twice = written(edges.groupBy("body").agg(*ends).where("n > 1").select("body", *sources), "twice")
     pieces = written(again.unionByName(edges.join(twice, "body").drop("body")), "pieces")
     forget(met, each, edges, twice)
-    marks = pieces.groupBy("k").agg(F.collect_list(F.struct("place", "lk", "lp", "gk", "gp")).alias("marks"))
+    marks = pieces.groupBy("k").agg(F.collect_set(F.struct("place", "lk", "lp", "gk", "gp")).alias("marks"))  # rows that repeat give equal ones
     more = "n_words long, n_removed long, kept_sha256 string, kept_text string" + ", factors array<struct<start:bigint,length:bigint,source:bigint,source_start:bigint>>" * factors
     kind = StructType([base.schema["_rest"], *_parse_datatype_string(more).fields])
     cut = arrow_map(texts.join(marks, texts["_key"] == marks["k"], "left").select("_rest", "_text", "_key", "_check", "marks"), _cut_rows(window, factors), kind)
