@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from ._common import forget, written
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """links (x, y) of longs -> (node, component), the component being its smallest node; a row for each node of a link.
 
     Each round joins links with the smallest neighbour of a node, an aggregate that combines before the shuffle. Rounds
     grow with the logarithm of the longest path; they end when all links are stars. Only that comes to the driver.
+
+    labels (node, label) may give a node of its own component for each node of a link. Then only links of different labels
+    go through the rounds, and the component is its smallest label.
     """
+    if labels is not None:
+        ends = links.select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
+        ends = ends.join(labels.select(F.col("node").alias("u"), F.col("label").alias("x")), "u").join(labels.select(F.col("node").alias("v"), F.col("label").alias("y")), "v")
+        found = connected_components(ends.select("x", "y")).withColumnRenamed("node", "label")
+        return labels.join(found, "label", "left").select("node", F.coalesce("component", "label").alias("component"))
     edges = written(links.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -218,7 +218,8 @@ def _remaining(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def near_links(keyed: DataFrame, reps: DataFrame, similarity: float, sketches: int, length: int, shingle: int, rounds: int) -> DataFrame:
-    """Verified links (x, y) between nodes of keyed; reps (_node, _id) has the one row of a node that is read for its text.
+    """The components (node, component) of verified links between nodes of keyed, for all nodes with a link; reps (_node,
+    _id) has the one row of a node that is read for its text.
 
     Nodes of an equal sketch are a bucket. Two steps:
 
@@ -283,17 +284,24 @@ def near_links(keyed: DataFrame, reps: DataFrame, similarity: float, sketches: i
         made += [state]
         before, rest = rest, written(rest.select("s", "x", "used").join(state, "x", "left").select("s", "x", F.coalesce("component", "x").alias("c"), F.coalesce("d", F.lit(0)).alias("d"), "used"), "buckets")
         forget(before)
-    parts = connected_components(links).withColumnRenamed("node", "x")
-    left = rest.where("NOT used").select("s", "x").join(parts, "x", "left").select("s", "x", F.coalesce("component", "x").alias("c"))
+    labels = state.select(F.col("x").alias("node"), F.col("component").alias("label")) if rounds else None
+    parts = written(connected_components(links, labels).withColumnRenamed("node", "x"), "parts")
+    # All of a bucket, former centres too: a node was compared with the centre that most of its buckets name, not with each.
+    left = rest.select("s", "x").join(parts, "x", "left").select("s", "x", F.coalesce("component", "x").alias("c"))
     pairs = written(_remaining(left, texts, similarity).join(tried, ["x", "y"], "left_anti"), "pairs")
     # Of two components the pair that differs least is compared first; where it links them, the others are of no matter.
     best = written(pairs.groupBy("a", "b").agg(F.min(F.struct("e", "x", "y")).alias("k")).select("a", "b", "k.x", "k.y"), "best")
     one = verified(best.select("x", "y"))
-    joined = best.join(one, ["x", "y"]).select("a", "b")
-    others = written(pairs.join(joined, ["a", "b"], "left_anti").select("x", "y").join(best.select("x", "y"), ["x", "y"], "left_anti"), "others")
-    more = verified(others)
-    out = written(links.unionByName(one).unionByName(more), "links")
-    forget(first, rest, texts, pairs, best, one, others, more, *made)
+    joined = written(best.join(one, ["x", "y"]).select("a", "b"), "joined")
+    others = written(pairs.join(joined, ["a", "b"], "left_anti").join(best.select("x", "y"), ["x", "y"], "left_anti").select("x", "y", "a", "b"), "others")
+    more = verified(others.select("x", "y"))
+    # Components take the place of their nodes: only links between them are left.
+    between = joined.unionByName(others.join(more, ["x", "y"]).select("a", "b").distinct()).toDF("x", "y")
+    whole = connected_components(between).toDF("c", "whole")
+    single = between.select(F.explode(F.array("x", "y")).alias("x")).distinct().join(parts, "x", "left_anti").select("x", F.col("x").alias("component"))
+    out = parts.unionByName(single).withColumnRenamed("component", "c").join(whole, "c", "left")
+    out = written(out.select(F.col("x").alias("node"), F.coalesce("whole", "c").alias("component")), "components")
+    forget(first, rest, texts, pairs, best, one, joined, others, more, parts, *made)
     return out
 
 
@@ -302,10 +310,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, ske
     keyed = _keyed(docs, id_col, text_col)
     nodes = written(keyed.select("_id", "_node"), "nodes")
     reps = written(nodes.where("_node IS NOT NULL").groupBy("_node").agg(F.min("_id").alias("_id")), "reps")
-    links = near_links(keyed, reps, similarity, sketches, length, shingle, rounds)
-    parts = connected_components(links)
+    parts = near_links(keyed, reps, similarity, sketches, length, shingle, rounds)
     labels = written(reps.join(parts, reps["_node"] == parts["node"], "left").select("_node", "_id", F.coalesce("component", "_node").alias("_part")), "labels")
-    forget(links, reps)
+    forget(parts, reps)
     return nodes, labels
 
 

@@ -89,3 +89,12 @@ def test_sketches_of_similar_texts_meet(n):
                 b = np.insert(a, at, new(edits))
             met += bool(sketch(a) & sketch(b))
         assert met >= 0.9 * times
+
+
+def test_former_centres_are_compared_with_all_of_their_buckets(spark):
+    """The middle one of three texts shares buckets with both others; where these are the centres, it names but one of them."""
+    rng, rows = random.Random(13), []
+    for _ in range(8):
+        a, b, c, d = ([f"w{rng.getrandbits(40)}" for _ in range(60)] for _ in range(4))
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(([*a, *b], [*c, *b], [*c, *d]))]
+    assert classes_of(spark, rows, similarity=0.5, sketches=96, length=1, rounds=1) == {i: i - i % 3 for i, _ in rows}
