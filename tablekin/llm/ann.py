@@ -15,6 +15,10 @@ from pyspark.sql.window import Window
 from ._common import arrow_map, forget, ship, written
 
 
+#: Distances, or lists found for queries, that a task holds at once.
+CELLS = 500_000
+
+
 class ListIndex:
     """Centroids of the posting lists and a neighbourhood graph that finds the ones near a vector.
 
@@ -237,8 +241,9 @@ def nearest_neighbours(
 
     def assign():
         def one(batch):
-            for a in range(0, len(batch), 2000):
-                cut = batch.slice(a, 2000)
+            rows = max(1, min(2000, CELLS // len(index.centroids)))
+            for a in range(0, len(batch), rows):
+                cut = batch.slice(a, rows)
                 row, lists = index.assign(_matrix(cut.column("v")), copies, copy_ratio)
                 yield {"list": lists, "v": cut.column("v").take(row_array(row)), "ids": cut.column("ids").take(row_array(row))}
 
@@ -246,11 +251,12 @@ def nearest_neighbours(
 
     def select():
         def one(batch):
-            for a in range(0, len(batch), 1000):
-                cut = batch.slice(a, 1000)
+            rows = max(1, CELLS // len(index.centroids))  # a query may search all lists
+            for a in range(0, len(batch), rows):
+                cut = batch.slice(a, rows)
                 found = [[c for _, c in index.search(q, ratio)] for q in _matrix(cut.column("v"))]
                 row = np.repeat(np.arange(len(cut)), [len(f) for f in found])
-                yield {"list": [c for f in found for c in f], "v": cut.column("v").take(row_array(row)), "q": cut.column("q").take(row_array(row))}
+                yield {"list": [c for f in found for c in f], "q": cut.column("q").take(row_array(row))}
 
         return one
 
@@ -262,10 +268,10 @@ def nearest_neighbours(
     cut = postings.join(held, "list").select((F.col("bucket") + F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int")).alias("bucket"), "list", "v", "ids")
 
     def searched(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows (q, near): the k + 1 nearest distinct vectors in the lists of wanted (list, v, q); and what it is read from."""
-        each = wanted.join(held, "list").select("q", "v", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("bucket").alias("b"))
-        each = each.groupBy((F.col("b") + F.col("i")).alias("bucket"), "q").agg(F.first("v").alias("v"), F.collect_set("list").alias("lists"))
-        each = written(each, "each")
+        """Rows (q, near): the k + 1 nearest distinct vectors in the lists of wanted (list, q); and what it is read from."""
+        each = wanted.join(held, "list").select("q", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("bucket").alias("b"))
+        each = each.groupBy((F.col("b") + F.col("i")).alias("bucket"), "q").agg(F.collect_set("list").alias("lists"))
+        each = written(each.join(asked, "q"), "each")
         turns = written(each.groupBy("bucket").agg(F.ceil(F.count("*") / bucket_queries).cast("int").alias("turns")), "turns")
         again = spark.read.schema(turns.schema).parquet(turns._place)
         left = cut.join(turns, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "list", "v", "ids")
@@ -273,13 +279,13 @@ def nearest_neighbours(
         found = left.groupBy("bucket", "turn").cogroup(right.groupBy("bucket", "turn")).applyInPandas(_top(k + 1), "q long, d double, first long, ids array<bigint>")
         return found.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "first", "ids"))), 1, k + 1).alias("near")), each
 
-    wanted = arrow_map(asked.select("v", "q"), select, f"list int, v {kind}, q long")
+    wanted = arrow_map(asked.select("v", "q"), select, "list int, q long")
     near, each = searched(wanted)
     found = written(near, "found")
     forget(each)
     enough = F.aggregate("near", F.lit(0), lambda n, x: n + F.size(x["ids"])) > k
     short = asked.join(found.where(enough).select("q"), "q", "left_anti")
-    every_list = short.crossJoin(F.broadcast(spark.createDataFrame([(c,) for c in counts], "list int"))).select("list", "v", "q")  # the lists, few, for queries, fewer
+    every_list = short.crossJoin(F.broadcast(spark.createDataFrame([(c,) for c in counts], "list int"))).select("list", "q")  # the lists, few, for queries, fewer
     found = found.where(enough).unionByName(searched(every_list)[0])
     flat = F.flatten(F.transform("near", lambda x: F.transform(x["ids"], lambda i: F.struct(x["d"].alias("d"), i.alias("i")))))
     ranked = queries.join(asked, "v").join(found, "q").select(F.col("id").alias("query_id"), flat.alias("near"))

@@ -344,3 +344,22 @@ def test_pipeline_on_odd_rows(spark):
         assert stage(spark, empty, SF).count() == 0
     unlabelled = make([(1, "some words", None, None), (1, "some words", None, None)])
     assert corpus_pipeline.language_stage(spark, unlabelled, SF).count() == 0
+
+
+def test_queries_name_their_lists_in_bounded_batches(spark, monkeypatch):
+    from tablekin.llm import ann
+
+    seen, real = [], ann.arrow_map
+
+    def watched(df, make, schema):
+        if "q long" in str(schema):
+            for batch in df.toArrow().combine_chunks().to_batches():
+                seen.extend((len(x["list"]), sorted(x)) for x in make()(batch))
+        return real(df, make, schema)
+
+    monkeypatch.setattr(ann, "arrow_map", watched)
+    monkeypatch.setattr(ann, "CELLS", 100, raising=False)
+    x = np.random.default_rng(3).normal(size=(2000, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert nearest_neighbours(rows, every=5, list_rows=40).count() == 4000
+    assert max(n for n, _ in seen) <= 100 and all(names == ["list", "q"] for _, names in seen)
