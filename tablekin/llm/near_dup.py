@@ -12,6 +12,8 @@ from .components import connected_components
 LONG_MIN = -(1 << 63)
 #: Nodes of a bucket that meet at once.
 BLOCK = 2000
+#: Nodes, and words, of a block of a family.
+FAMILY_BLOCK, FAMILY_WORDS = 1000, 1_000_000
 
 
 def occurrences(g: np.ndarray) -> np.ndarray:
@@ -164,57 +166,152 @@ def _signatures():
     return make
 
 
-def _unlike(least: float):
-    """Pairs of each list of nodes, of different components and blocks, that their lengths and signatures don't rule out.
+def _not_ruled_out(least: float, n: np.ndarray, g: np.ndarray, b: np.ndarray, *labels: np.ndarray):
+    """For nodes in order of their lengths n, a node's place, those of later ones that their lengths and signatures g don't
+    rule out, and the differences of these: of different blocks b, if there are two, and different in each of labels, which
+    may be changed meanwhile.
 
     An insertion or a deletion changes one word count by one and a replacement two, so a distance d needs a difference
     of signatures of at most 2 d less the difference of lengths.
     """
+    most = ((1 - least) * n + 1e-9).astype(np.int64)
+    ends = np.searchsorted(n - most, n, "right")
+    across = b.min() != b.max()
+    for j, end in enumerate(ends):
+        at = np.arange(j + 1, end)
+        for label in (*labels, b) if across else labels:
+            at = at[label[at] != label[j]]
+        if len(at):
+            e = np.abs(g[at] - g[j]).sum(1, dtype=np.int64)
+            keep = e <= 2 * most[at] - (n[at] - n[j])
+            if keep.any():
+                yield j, at[keep], e[keep]
+
+
+def _kin(least: float):
+    """Of each list of nodes those that may be similar to one of another component (c) and block, with the bucket s and
+    the first node y of all that a chain of such pairs joins: a row a node, however many pairs there are."""
 
     def make():
         def one(batch):
-            for i in range(len(batch)):
+            for i, s in enumerate(batch.column("s").to_pylist()):
                 m = batch.column("m").slice(i, 1).flatten()
                 x, c, n, b = (m.field(k).to_numpy() for k in ("x", "c", "n", "b"))
                 order = np.argsort(n, kind="stable")
                 x, c, n, b = x[order], c[order], n[order], b[order]
                 g = np.frombuffer(b"".join(m.field("g").to_pylist()), np.uint8).reshape(len(x), -1)[order].astype(np.int16)
-                most = ((1 - least) * n + 1e-9).astype(np.int64)
-                ends = np.searchsorted(n - most, n, "right")
-                across = b.min() != b.max()
-                for j, end in enumerate(ends):
-                    at = np.arange(j + 1, end)
-                    at = at[(c[at] != c[j]) & ((b[at] != b[j]) | (not across))]
-                    if len(at):
-                        e = np.abs(g[at] - g[j]).sum(1, dtype=np.int64)
-                        keep = e <= 2 * most[at] - (n[at] - n[j])
-                        at, e = at[keep], e[keep]
-                    if len(at):
-                        yield {"x": np.minimum(x[at], x[j]), "y": np.maximum(x[at], x[j]), "a": np.minimum(c[at], c[j]), "b": np.maximum(c[at], c[j]), "e": e}
+                root, any_ = np.arange(len(x)), np.zeros(len(x), bool)
+                for j, at, _ in _not_ruled_out(least, n, g, b, c, root):
+                    any_[j] = any_[at] = True
+                    met = np.unique(np.append(root[at], root[j]))
+                    root[np.isin(root, met)] = met[0]
+                if any_.any():
+                    first = np.full(len(x), np.iinfo(np.int64).max)
+                    np.minimum.at(first, root, x)
+                    yield {"x": x[any_], "y": first[root[any_]], "c": c[any_], "s": np.full(any_.sum(), s)}
 
         return one
 
     return make
 
 
+def _words():
+    """Word hashes in their order, 8 bytes each."""
+
+    def make():
+        cache = WordHashes()
+
+        def one(batch):
+            for part in slices(batch, "_text"):
+                w = [cache.of(words_of(text)) for text in part.column("_text").to_pylist()]
+                yield {"x": part.column("_node"), "n": [len(h) for h in w], "w": [h.tobytes() for h in w]}
+
+        return one
+
+    return make
+
+
+def _linked(least: float):
+    """Of each list of nodes, links between components (a, b): of two blocks, or of the one that there is. The pairs of a
+    common bucket that word counts don't rule out are compared, those that differ least first, unless links found before
+    join their components, so there are fewer links than nodes."""
+
+    def make():
+        def one(batch):
+            for i in range(len(batch)):
+                m = batch.column("m").slice(i, 1).flatten()
+                w = [np.frombuffer(h, np.uint64) for h in m.field("w").to_pylist()]
+                order = np.argsort([len(h) for h in w], kind="stable")
+                w = [w[k] for k in order]
+                c, b = (m.field(k).to_numpy()[order] for k in ("c", "b"))
+                buckets = m.field("s").to_pylist()
+                buckets = [frozenset(buckets[k]) for k in order]
+                g = np.stack([np.minimum(np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256), 255) for h in w]).astype(np.int16)
+                n = np.array([len(h) for h in w])
+                found = [(np.full(len(at), j, np.int32), at.astype(np.int32), e.astype(np.int32)) for j, at, e in _not_ruled_out(least, n, g, b, c)]
+                if not found:
+                    continue
+                j, k, e = (np.concatenate(part) for part in zip(*found, strict=True))
+                root = {v: v for v in c.tolist()}
+                links = []
+                for at in np.argsort(e, kind="stable"):
+                    p, q = int(c[j[at]]), int(c[k[at]])
+                    u, v = _root(root, p), _root(root, q)
+                    if u != v and not buckets[j[at]].isdisjoint(buckets[k[at]]) and similar(w[j[at]].tolist(), w[k[at]].tolist(), least):
+                        root[max(u, v)] = min(u, v)
+                        links.append((min(p, q), max(p, q)))
+                if links:
+                    yield {"a": [p for p, _ in links], "b": [q for _, q in links]}
+
+        return one
+
+    return make
+
+
+def _root(root: dict, v: int) -> int:
+    while root[v] != v:
+        root[v] = v = root[root[v]]
+    return v
+
+
 def _remaining(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (x, y) of nodes of one bucket of rest (s, x, c) and different components c that may be similar: all such, with
-    these components (a, b) and the difference e of their word counts.
+    """Links (a, b) between components: any two that a similar pair of nodes of one bucket of rest (s, x, c) joins are
+    joined by these, directly or by others.
 
-    Buckets of the same nodes count once. A large one is cut in blocks of BLOCK nodes, and each two blocks meet by
-    themselves, so no bucket is one task's.
+    Pairs are never rows, since in a family of texts that are just not similar there are as many as its square. Buckets of
+    the same nodes count once. Nodes that may be similar to one of another component, which word counts tell, and that
+    chains of such pairs join, are a family. In it every pair of a common bucket is looked at once, by word hashes. Large
+    buckets and families are cut in blocks, and each two blocks meet by themselves, so none is one task's.
     """
     first = rest = written(rest, "rest")
     sets = rest.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("x")).alias("h"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("i"))
     sets = written(sets.where("lo <> hi").groupBy("k", "h", "i").agg(F.min("s").alias("s")).select("s", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "sets")
     rest = written(rest.join(sets, "s"), "rest")
-    forget(first, sets)
     need = rest.select(F.col("x").alias("_node")).distinct()
     signs = written(arrow_map(texts.join(need, "_node", "left_semi"), _signatures(), "x long, n long, g binary"), "signatures")
-    rows = rest.join(signs, "x").withColumn("b", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = rows.groupBy("s", F.least("b", "j").alias("u"), F.greatest("b", "j").alias("v")).agg(F.collect_list(F.struct("x", "c", "n", "b", "g")).alias("m"))
-    return arrow_map(units.where("size(m) > 1").select("m"), _unlike(similarity), "x long, y long, a long, b long, e long").distinct()
+    kin = written(arrow_map(_meeting(rest.join(signs, "x"), "s", "x", "c", "n", "b", "g"), _kin(similarity), "x long, y long, c long, s long"), "kin")
+    forget(first, sets, rest, signs)
+    nodes = written(kin.groupBy("x").agg(F.min("y").alias("y"), F.min("c").alias("c"), F.collect_set("s").alias("s")), "nodes")
+    families = connected_components(kin.where("x <> y").select("x", "y").distinct(), nodes.select(F.col("x").alias("node"), F.col("y").alias("label")))
+    words = arrow_map(texts.join(nodes.select(F.col("x").alias("_node")), "_node", "left_semi"), _words(), "x long, n long, w binary")
+    members = written(nodes.drop("y").join(families.toDF("x", "f"), "x").join(words, "x"), "members")
+    # At least as many blocks as make work for some tasks.
+    blocks = F.ceil(F.greatest(F.count("*") / FAMILY_BLOCK, F.sum("n") / FAMILY_WORDS, F.least(F.lit(8), F.count("*") / 250))).cast("int").alias("blocks")
+    units = _meeting(members.join(members.groupBy("f").agg(blocks), "f"), "f", "x", "c", "b", "s", "w")
+    out = written(arrow_map(units, _linked(similarity), "a long, b long").distinct(), "linked")
+    forget(kin, nodes, members)
+    return out
+
+
+def _meeting(rows: DataFrame, group: str, *cols: str) -> DataFrame:
+    """group and m, the lists of cols, b being the block, of each two of the blocks of a group of rows (blocks: how many)."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"u": F.least("b", "j"), "v": F.greatest("b", "j")})
+    # Their work is far more than their bytes, by which adaptive execution would put them in a task or two.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    units = rows.repartition(tasks, group, "u", "v").groupBy(group, "u", "v").agg(F.collect_list(F.struct(*cols)).alias("m"))
+    return units.where("size(m) > 1").select(group, "m")
 
 
 def near_links(keyed: DataFrame, reps: DataFrame, similarity: float, sketches: int, length: int, shingle: int, rounds: int) -> DataFrame:
@@ -228,7 +325,7 @@ def near_links(keyed: DataFrame, reps: DataFrame, similarity: float, sketches: i
        name, so that a round tests at most a pair a node, however large a bucket is. This joins families cheaply; nodes
        known to be of one component aren't compared, and buckets of such are done. `rounds` only sets how much is left.
     2. Every pair of a bucket that could still join two components is compared, but for those that word counts rule out,
-       and for those of two components that another pair has linked.
+       and for those of two components that other pairs of the same two blocks have joined. Pairs aren't rows there.
     """
 
     def make():
@@ -288,20 +385,14 @@ def near_links(keyed: DataFrame, reps: DataFrame, similarity: float, sketches: i
     parts = written(connected_components(links, labels).withColumnRenamed("node", "x"), "parts")
     # All of a bucket, former centres too: a node was compared with the centre that most of its buckets name, not with each.
     left = rest.select("s", "x").join(parts, "x", "left").select("s", "x", F.coalesce("component", "x").alias("c"))
-    pairs = written(_remaining(left, texts, similarity).join(tried, ["x", "y"], "left_anti"), "pairs")
-    # Of two components the pair that differs least is compared first; where it links them, the others are of no matter.
-    best = written(pairs.groupBy("a", "b").agg(F.min(F.struct("e", "x", "y")).alias("k")).select("a", "b", "k.x", "k.y"), "best")
-    one = verified(best.select("x", "y"))
-    joined = written(best.join(one, ["x", "y"]).select("a", "b"), "joined")
-    others = written(pairs.join(joined, ["a", "b"], "left_anti").join(best.select("x", "y"), ["x", "y"], "left_anti").select("x", "y", "a", "b"), "others")
-    more = verified(others.select("x", "y"))
     # Components take the place of their nodes: only links between them are left.
-    between = joined.unionByName(others.join(more, ["x", "y"]).select("a", "b").distinct()).toDF("x", "y")
+    linked = _remaining(left, texts, similarity)
+    between = linked.toDF("x", "y")
     whole = connected_components(between).toDF("c", "whole")
     single = between.select(F.explode(F.array("x", "y")).alias("x")).distinct().join(parts, "x", "left_anti").select("x", F.col("x").alias("component"))
     out = parts.unionByName(single).withColumnRenamed("component", "c").join(whole, "c", "left")
     out = written(out.select(F.col("x").alias("node"), F.coalesce("whole", "c").alias("component")), "components")
-    forget(first, rest, texts, pairs, best, one, joined, others, more, parts, *made)
+    forget(first, rest, texts, linked, parts, *made)
     return out
 
 

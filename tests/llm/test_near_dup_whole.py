@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from tablekin.llm import near_dup
 from tablekin.llm._common import WordHashes
 from tablekin.llm.near_dup import OrderMinHash, near_duplicates, similar, sketchers, without_near_duplicates
 
@@ -98,3 +99,33 @@ def test_former_centres_are_compared_with_all_of_their_buckets(spark):
         a, b, c, d = ([f"w{rng.getrandbits(40)}" for _ in range(60)] for _ in range(4))
         rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(([*a, *b], [*c, *b], [*c, *d]))]
     assert classes_of(spark, rows, similarity=0.5, sketches=96, length=1, rounds=1) == {i: i - i % 3 for i, _ in rows}
+
+
+def test_a_family_that_is_just_not_similar_makes_no_rows_of_pairs(spark, monkeypatch):
+    """Variants of one text, most two of which are just not similar, in several blocks: the same classes as by brute force."""
+    rng, sizes = random.Random(17), []
+    kept = near_dup.written
+    monkeypatch.setattr(near_dup, "written", lambda df, name: sizes.append((kept(df, name), name)) or sizes[-1][0])
+    monkeypatch.setattr(near_dup, "forget", lambda *tables: None)
+    monkeypatch.setattr(near_dup, "BLOCK", 150)
+    monkeypatch.setattr(near_dup, "FAMILY_BLOCK", 20)
+    base = [f"w{rng.getrandbits(40)}" for _ in range(120)]
+    texts = []
+    for _ in range(400):  # some words change places, so that word counts tell nothing
+        at, text = rng.sample(range(120), rng.choice((15, 16, 17))), list(base)
+        for i, j in zip(at, [*at[1:], at[0]], strict=True):
+            text[i] = base[j]
+        texts.append(text)
+    omh = sketchers(0.8, 24, 1, 3)[1:]
+    cache = WordHashes()
+    marks = [frozenset(np.concatenate([o.sketch(cache.of([w.encode() for w in t])) for a, b, o in omh if a <= len(t) <= b]).tolist()) for t in texts]
+    least = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if least[i] != least[j] and marks[i] & marks[j] and similar(texts[i], texts[j], 0.8):
+                low, high = sorted((least[i], least[j]))
+                least = [low if k == high else k for k in least]
+    assert 50 < len(set(least)) < 390
+    found = classes_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)], sketches=24, length=1, rounds=1)
+    assert [found[i] for i in range(len(texts))] == least
+    assert max(table.count() for table, _ in sizes) <= 70 * len(texts)  # a few times the sketches; there are 79,800 pairs
