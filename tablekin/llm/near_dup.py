@@ -14,6 +14,8 @@ LONG_MIN = -(1 << 63)
 BLOCK = 2000
 #: Nodes, and words, of a block of a family.
 FAMILY_BLOCK, FAMILY_WORDS = 1000, 1_000_000
+#: Words of 64 bits, as a power of two, that are broadcast at most to tell rows that a join doesn't need.
+SIFT_WORDS = 19
 
 
 def occurrences(g: np.ndarray) -> np.ndarray:
@@ -146,6 +148,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LONG_MIN)).alias("_id"), F.col(text_col).alias("_text"), _node(F.col(text_col)).alias("_node"))
 
 
+def _sifted(rows: DataFrame, need: DataFrame, *on: str) -> DataFrame:
+    """The rows whose columns `on` are in need, a written table, and a few others, so that a join with need shuffles few
+    that it drops. It tells them by bits of hashes, 8 to 16 a row of need, in words that are broadcast. Beyond SIFT_WORDS
+    of these, which 4 million rows fill, more others are left, but no row of need is ever lost."""
+    words = 1 << min((need.count() // 8).bit_length(), SIFT_WORDS)
+    h = F.xxhash64(*on)
+    word, bit = h.bitwiseAND(F.lit(words - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
+    bits = need.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return rows.join(F.broadcast(bits), (word == F.col("_word")) & (bit.bitwiseAND(F.col("_bits")) != 0), "left_semi")
+
+
 def _signatures():
     """Word counts in 256 cells, each 255 at most. The sum of the differences of two is never above the texts' own."""
 
@@ -287,13 +300,14 @@ def _remaining(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     sets = rest.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("x")).alias("h"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("i"))
     sets = written(sets.where("lo <> hi").groupBy("k", "h", "i").agg(F.min("s").alias("s")).select("s", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "sets")
     rest = written(rest.join(sets, "s"), "rest")
-    need = rest.select(F.col("x").alias("_node")).distinct()
-    signs = written(arrow_map(texts.join(need, "_node", "left_semi"), _signatures(), "x long, n long, g binary"), "signatures")
+    need = written(rest.select(F.col("x").alias("_node")).distinct(), "need")
+    signs = written(arrow_map(_sifted(texts, need, "_node").join(need, "_node", "left_semi"), _signatures(), "x long, n long, g binary"), "signatures")
     kin = written(arrow_map(_meeting(rest.join(signs, "x"), "s", "x", "c", "n", "b", "g"), _kin(similarity), "x long, y long, c long, s long"), "kin")
-    forget(first, sets, rest, signs)
+    forget(first, sets, rest, need, signs)
     nodes = written(kin.groupBy("x").agg(F.min("y").alias("y"), F.min("c").alias("c"), F.collect_set("s").alias("s")), "nodes")
     families = connected_components(kin.where("x <> y").select("x", "y").distinct(), nodes.select(F.col("x").alias("node"), F.col("y").alias("label")))
-    words = arrow_map(texts.join(nodes.select(F.col("x").alias("_node")), "_node", "left_semi"), _words(), "x long, n long, w binary")
+    need = nodes.select(F.col("x").alias("_node"))
+    words = arrow_map(_sifted(texts, need, "_node").join(need, "_node", "left_semi"), _words(), "x long, n long, w binary")
     members = written(nodes.drop("y").join(families.toDF("x", "f"), "x").join(words, "x"), "members")
     # At least as many blocks as make work for some tasks.
     blocks = F.ceil(F.greatest(F.count("*") / FAMILY_BLOCK, F.sum("n") / FAMILY_WORDS, F.least(F.lit(8), F.count("*") / 250))).cast("int").alias("blocks")
@@ -349,12 +363,14 @@ def near_links(keyed: DataFrame, reps: DataFrame, similarity: float, sketches: i
     rest = first = written(found.join(shared, "s").select("s", "x").distinct(), "buckets")
     forget(found, shared)
     spark = keyed.sparkSession
-    need = rest.select(F.col("x").alias("_node")).distinct().join(reps, "_node")
-    texts = written(keyed.join(need, ["_node", "_id"]).groupBy("_node", "_id").agg(F.first("_text").alias("_text")).select("_node", "_text"), "texts")
+    need = written(rest.select(F.col("x").alias("_node")).distinct().join(reps, "_node"), "need")
+    texts = _sifted(keyed, need, "_node", "_id").join(need, ["_node", "_id"])
+    texts = written(texts.groupBy("_node", "_id").agg(F.first("_text").alias("_text")).select("_node", "_text"), "texts")
+    forget(need)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("_node").alias("x"), F.col("_text").alias("tx")), "x")
-        both = both.join(texts.select(F.col("_node").alias("y"), F.col("_text").alias("ty")), "y")
+        both = pairs.join(_sifted(texts.toDF("x", "tx"), pairs, "x"), "x")
+        both = both.join(_sifted(texts.toDF("y", "ty"), pairs, "y"), "y")
         return written(arrow_map(both, _verify(similarity), "x long, y long"), "good")
 
     links = spark.createDataFrame([], "x long, y long")

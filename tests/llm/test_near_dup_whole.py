@@ -129,3 +129,36 @@ def test_a_family_that_is_just_not_similar_makes_no_rows_of_pairs(spark, monkeyp
     found = classes_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)], sketches=24, length=1, rounds=1)
     assert [found[i] for i in range(len(texts))] == least
     assert max(table.count() for table, _ in sizes) <= 70 * len(texts)  # a few times the sketches; there are 79,800 pairs
+
+
+def test_texts_without_a_candidate_are_not_shuffled(spark):
+    """Of two large tables, as the joins with texts take them, what is shuffled isn't the texts of all documents."""
+    rng = random.Random(19)
+    texts = [[f"w{rng.getrandbits(40)}" for _ in range(2000)] for _ in range(150)]
+    texts += [edited(rng, texts[7], [1000]), texts[9], texts[9]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS)
+    sc, kept = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    args = None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList()
+    stages = lambda: {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in map(seq.apply, range(seq.size()))} if (seq := sc._jsc.sc().statusStore().stageList(*args)) else {}
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    before = stages()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    moved = sum(n for k, n in stages().items() if k not in before)
+    assert found == {i: {150: 7, 151: 9, 152: 9}.get(i, i) for i, _ in rows}
+    assert 0 < moved < sum(len(t) for _, t in rows) / 2
+
+
+@pytest.mark.parametrize("most", [19, 0])
+def test_sifting_loses_no_row_that_is_needed(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dup, "SIFT_WORDS", most)
+    rows, need = spark.range(20_000).selectExpr("id AS a", "id % 7 AS b"), spark.range(0, 20_000, 40).selectExpr("id AS a", "id % 7 AS b")
+    left = near_dup._sifted(rows, need, "a", "b")
+    assert left.join(need, ["a", "b"]).count() == 500
+    assert left.count() <= (3000 if most else 20_000)
+    assert near_dup._sifted(rows, need.limit(0), "a").count() == 0
